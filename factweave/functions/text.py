@@ -131,7 +131,8 @@ def sentence_span(text: Column, start: Column, end: Column) -> tuple[Column, Col
     """Widen a half-open 0-based span to sentence edges (. ! ? newline), end mark included."""
     left = F.substring(text, F.lit(1), start)
     right = F.substring(text, end + 1, F.length(text))
-    new_start = start - F.length(F.regexp_extract(left, r"([^.!?\n]*)$", 1))
+    # read backwards: a pattern anchored at the end would be tried from every earlier position
+    new_start = start - F.length(F.regexp_extract(F.reverse(left), r"^([^.!?\n]*)", 1))
     new_end = end + F.length(F.regexp_extract(right, r"^([^.!?\n]*[.!?\n]?)", 1))
     return new_start, new_end
 
@@ -143,7 +144,7 @@ def context_snippet(text: Column, start: Column, end: Column, max_chars: int = 4
     hi = F.least(F.length(text), end + half)
     left = F.substring(text, lo + 1, start - lo)
     right = F.substring(text, end + 1, hi - end)
-    left_keep = F.regexp_extract(left, r"([^.!?\n]*)$", 1)
+    left_keep = F.reverse(F.regexp_extract(F.reverse(left), r"^([^.!?\n]*)", 1))
     right_keep = F.regexp_extract(right, r"^([^.!?\n]*[.!?\n]?)", 1)
     snippet = strip(F.concat(left_keep, F.substring(text, start + 1, end - start), right_keep))
     bad = (start < 0) | (end > F.length(text)) | (start >= end)

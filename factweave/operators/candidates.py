@@ -50,33 +50,58 @@ _REPAIRS = [
 ]
 
 
-def repair_xml(x: Column) -> tuple[Column, Column]:
-    """(repaired xml, names of the repairs made); known tag names are never escaped."""
-    steps: list[tuple[str, Column]] = []
-
-    def step(name: str, before: Column, after: Column) -> Column:
-        steps.append((name, ~before.eqNullSafe(after)))
-        return after
-
-    x = step("ampersand", x, F.regexp_replace(x, r"&(?!(amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);)", "&amp;"))
-    x = step("less-than", x, F.regexp_replace(
-        x, r"<(?!(?:statements|stmt|subject|object|predicate|text)\b)(?=\s|[a-z]{2,}[^a-z/>])", "&lt;"))
-    done = x
-    for pattern, closer in _REPAIRS:
-        done = F.regexp_replace(done, pattern, closer)
-    x = step("truncated closer", x, done)
-    open_root = x.contains("<statements>") & ~x.contains("</statements>")
-    upto = F.regexp_extract(x, r"(?s)^(.*</stmt>)", 1)
-    x = step("missing root closer", x, F.when(open_root & (upto != ""), F.concat(upto, F.lit("</statements>")))
-             .when(open_root, F.concat(x, F.lit("</statements>"))).otherwise(x))
-    missing = F.regexp_count(x, F.lit("<stmt>")) - F.regexp_count(x, F.lit("</stmt>"))
-    closers = F.concat(F.repeat(F.lit("</stmt>"), F.greatest(missing, F.lit(0))), F.lit("</statements>"))
-    x = step("missing statement closer", x, F.when(
-        (missing > 0) & x.contains("</statements>"), F.replace(x, F.lit("</statements>"), closers)).otherwise(x))
-    head = F.regexp_extract(x, r"(?s)^(.*?</statements>)", 1)
-    x = step("trailing content", x, F.when(head != "", head).otherwise(x))
-    names = F.array_compact(F.array(*[F.when(changed, F.lit(name)) for name, changed in steps]))
-    return x, names
+def _let(value: Column, body) -> Column:
+    """Evaluates `value` once and uses it several times in `body`."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _repair_steps():
+    def truncated(x):
+        for pattern, closer in _REPAIRS:
+            x = F.regexp_replace(x, pattern, closer)
+        return x
+
+    def root_closer(x):
+        upto = F.regexp_extract(x, r"(?s)^(.*</stmt>)", 1)
+        end = F.lit("</statements>")
+        fixed = F.when(upto != "", F.concat(upto, end)).otherwise(F.concat(x, end))
+        return F.when(x.contains("<statements>") & ~x.contains("</statements>"), fixed).otherwise(x)
+
+    def statement_closers(x):
+        missing = F.regexp_count(x, F.lit("<stmt>")) - F.regexp_count(x, F.lit("</stmt>"))
+        closers = F.concat(F.repeat(F.lit("</stmt>"), missing), F.lit("</statements>"))
+        return F.when((missing > 0) & x.contains("</statements>"), F.replace(x, F.lit("</statements>"), closers)).otherwise(x)
+
+    def tail(x):
+        at = F.instr(x, "</statements>")
+        return F.when(at > 0, F.substring(x, F.lit(1), at + 12)).otherwise(x)
+
+    return [
+        ("ampersand", lambda x: F.regexp_replace(x, r"&(?!(amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);)", "&amp;")),
+        ("less-than", lambda x: F.regexp_replace(
+            x, r"<(?!(?:statements|stmt|subject|object|predicate|text)\b)(?=\s|[a-z]{2,}[^a-z/>])", "&lt;")),
+        ("truncated closer", truncated), ("missing root closer", root_closer),
+        ("missing statement closer", statement_closers), ("trailing content", tail),
+    ]
+
+
+def repair_xml(x: Column) -> Column:
+    """struct<xml, repairs>: six ordered repairs; known tag names are never escaped.
+
+    Each step is bound once, so the expression stays linear in the number of steps.
+    """
+    state = F.struct(x.alias("xml"), F.array().cast("array<string>").alias("repairs"))
+    for name, step in _repair_steps():
+        state = _let(state, _apply(name, step))
+    return state
+
+
+def _apply(name: str, step):
+    def run(s: Column) -> Column:
+        noted = lambda y: F.when(y != s["xml"], F.array_append(s["repairs"], F.lit(name))).otherwise(s["repairs"])
+        return _let(step(s["xml"]), lambda y: F.struct(y.alias("xml"), noted(y).alias("repairs")))
+
+    return run
 
 
 def parse_statements_xml(df: DataFrame, xml: str, repair: bool = True) -> DataFrame:
@@ -90,7 +115,7 @@ def parse_statements_xml(df: DataFrame, xml: str, repair: bool = True) -> DataFr
     parsed = statements(F.col(xml))
     if repair:
         # the second parse is only evaluated where the first gave nothing
-        parsed = F.coalesce(parsed, statements(repair_xml(F.col(xml))[0]))
+        parsed = F.coalesce(parsed, statements(repair_xml(F.col(xml))["xml"]))
     rows = df.select("*", F.posexplode(parsed).alias("stmt_idx", "s"))
     out = rows.withColumns({
         "subject": F.coalesce(tx.strip(F.col("s.subject._VALUE")), F.lit("")),

@@ -242,7 +242,7 @@ def display_names(t):
     return t.part.select("p_partkey", tx.display_name(F.concat_ws("_", "p_brand", F.replace("p_name", F.lit(" "), F.lit("_")))).alias("display_name"))
 
 
-@query("citations", """WITH pg AS (SELECT conv_id AS doc_id, turn + 1 AS p, (SELECT count(*) FROM nation) AS k, role FROM conversations)
+@query("citations", """WITH pg AS (SELECT conv_id AS doc_id, turn + 1 AS p, role FROM conversations)
   SELECT doc_id, CAST(p AS INTEGER) AS page_number, nullif(concat_ws(' - ', CASE WHEN doc_id % 3 > 0 THEN 'Report ' || doc_id END,
     CASE WHEN role = 'user' THEN 'A. Writer' WHEN role = 'assistant' THEN CASE WHEN doc_id % 2 = 0 THEN 'A. Writer & B. Reader' ELSE 'A. Writer et al.' END END,
     CASE WHEN doc_id % 4 > 0 THEN CAST(1990 + doc_id % 30 AS VARCHAR) END, CASE WHEN p > 1 THEN 'p. ' || p END), '') AS citation FROM pg""")

@@ -10,6 +10,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with far fewer splits than the cluster has cores (one small file) is redistributed once,
+    so that per-row work runs on all cores. A large table has enough splits and is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df.rdd.getNumPartitions()
+    return df.repartition(cores) if size * 2 <= cores else df
+
+
 class Tables:
     """Lazy access to the tables of a folder: t.lineitem, t.documents, ..."""
 
@@ -17,7 +25,7 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
 
 def query(name: str, sql: str | None = None):
