@@ -160,16 +160,18 @@ def display_name(c: Column) -> Column:
 
 
 def normalize_person(c: Column) -> Column:
+    """Lower case, leading titles removed in list order, single blanks."""
     out = lower_strip(c)
     for title in fixed.PERSON_TITLES:
-        out = F.when(out.startswith(title), F.substring(out, F.lit(len(title) + 1), F.length(out))).otherwise(out)
+        out = F.regexp_replace(out, rf"^\Q{title}\E", "")
     return collapse(out)
 
 
 def normalize_org(c: Column) -> Column:
+    """Lower case, trailing suffixes removed in list order (so they can stack)."""
     out = lower_strip(c)
     for suffix in fixed.ORG_SUFFIXES:
-        out = F.when(out.endswith(suffix), F.substring(out, F.lit(1), F.length(out) - len(suffix))).otherwise(out)
+        out = F.regexp_replace(out, rf"\Q{suffix}\E\z", "")
     return strip(out)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,9 +99,6 @@ def topic_classifier(embed, labels: list[tuple[str, str]], vectors, top_categori
 
     `vectors` are the label vectors in label order; a few thousand labels at most.
     """
-    import numpy as np
-    import pandas as pd
-
     m = np.array(vectors, dtype=np.float64)
     m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
     cats = list(dict.fromkeys(c for c, _ in labels))
@@ -159,9 +158,6 @@ def topics_hierarchical(texts: DataFrame, labels: DataFrame, text_id: str, text_
 
 def _categories_by_matrix(texts, cats, text_id, text_vec, category, k):
     """Top categories with the (size-checked) centroid table as one matrix in the task."""
-    import numpy as np
-    import pandas as pd
-
     names = np.array([c[category] for c in cats])
     order = np.argsort(names, kind="stable")
     names = names[order]

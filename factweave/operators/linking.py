@@ -72,15 +72,18 @@ def org_fqn(name: Column, source: Column, region: Column) -> Column:
 def org_identifiers(source: Column, source_id: Column, ticker: Column) -> Column:
     """Identifier map of an organisation record; absent entries are left out."""
     prefix = source_prefix(source)
-    entries = F.array(
-        F.struct(F.lit("source"), prefix), F.struct(F.lit("source_id"), source_id),
-        F.struct(F.lit("canonical_id"), F.concat(prefix, F.lit(":"), source_id)),
-        F.struct(F.lit("lei"), F.when(source == "gleif", source_id)),
-        F.struct(F.lit("sec_cik"), F.when(source == "sec_edgar", source_id)),
-        F.struct(F.lit("ticker"), F.when(source == "sec_edgar", tx.blank_to_null(ticker))),
-        F.struct(F.lit("ch_number"), F.when(source == "companies_house", source_id)),
-    )
-    return F.map_filter(F.map_from_entries(entries), lambda _, v: v.isNotNull())
+    entries = {
+        "source": prefix, "source_id": source_id, "canonical_id": F.concat(prefix, F.lit(":"), source_id),
+        "lei": F.when(source == "gleif", source_id), "sec_cik": F.when(source == "sec_edgar", source_id),
+        "ticker": F.when(source == "sec_edgar", tx.blank_to_null(ticker)),
+        "ch_number": F.when(source == "companies_house", source_id),
+    }
+    return filled_map(entries)
+
+
+def filled_map(entries: dict[str, Column]) -> Column:
+    """map<string,string> of the entries whose value is not null."""
+    return F.map_filter(F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
 
 
 def clamp01(c: Column) -> Column:
@@ -118,11 +121,10 @@ def qualifier_dict(q: Column) -> Column:
     """Serialised qualifiers: legal_name, region (region, else jurisdiction, else country), source,
     source_id; null when nothing is set."""
     region = F.coalesce(*[tx.blank_to_null(q[f]) for f in ("region", "jurisdiction", "country")])
-    entries = F.array(
-        F.struct(F.lit("legal_name"), tx.blank_to_null(q["legal_name"])), F.struct(F.lit("region"), region),
-        F.struct(F.lit("source"), F.try_element_at(q["identifiers"], F.lit("source"))),
-        F.struct(F.lit("source_id"), F.try_element_at(q["identifiers"], F.lit("source_id"))))
-    m = F.map_filter(F.map_from_entries(entries), lambda _, v: v.isNotNull())
+    m = filled_map({
+        "legal_name": tx.blank_to_null(q["legal_name"]), "region": region,
+        "source": F.try_element_at(q["identifiers"], F.lit("source")),
+        "source_id": F.try_element_at(q["identifiers"], F.lit("source_id"))})
     return F.when(F.size(m) > 0, m)
 
 
