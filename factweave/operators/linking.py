@@ -159,16 +159,21 @@ def filer_match(names: DataFrame, filers: DataFrame, name: str, filer: str, orde
     q = q.withColumn("__qs", strip_filer_suffixes(F.col("__q")))
     f = filers.withColumn("__f", F.lower(filer)).withColumn("__fs", strip_filer_suffixes(F.col("__f")))
 
-    def tier(n: int, left: str, right: str, exact: bool) -> DataFrame:
-        if exact:
-            pairs = q.select(F.col(left).alias("l")).distinct().join(f.select(F.col(right).alias("r")).distinct(), F.col("l") == F.col("r"))
-        else:
-            ls, rs = q.select(F.col(left).alias("l")).distinct(), f.select(F.col(right).alias("r")).distinct()
-            pairs = containment_join(ls, rs, "l", "r").unionByName(containment_join(rs, ls, "r", "l"))
-        # the first filer of each text is found before pairing with names, so copies meet once
-        lead = f.groupBy(F.col(right).alias("r")).agg(F.min(F.struct(F.col(order), F.col(filer))).alias("best"))
-        best = pairs.join(lead, "r").groupBy("l").agg(F.min("best").alias("best"))
-        return q.join(best, F.col(left) == F.col("l")).select(name, F.lit(n).alias("tier"), F.col(f"best.{filer}").alias(filer), F.col(f"best.{order}").alias(order))
-
-    hits = tier(1, "__q", "__f", True).unionByName(tier(2, "__q", "__f", False)).unionByName(tier(3, "__qs", "__fs", False))
+    texts = lambda df, plain, bare: df.select(F.explode(F.array(
+        F.struct(F.lit(1).alias("tier"), F.col(plain).alias("x")), F.struct(F.lit(2).alias("tier"), F.col(plain).alias("x")),
+        F.struct(F.lit(3).alias("tier"), F.col(bare).alias("x")))).alias("e")).select("e.*").distinct()
+    ls, rs = texts(q, "__q", "__qs").withColumnRenamed("x", "l"), texts(f, "__f", "__fs").withColumnRenamed("x", "r")
+    loose_l, loose_r = ls.where(F.col("tier") > 1), rs.where(F.col("tier") > 1)
+    # tier 1 pairs a text with itself; the join with the filers' texts below keeps the existing ones
+    pairs = ls.where(F.col("tier") == 1).select("tier", "l", F.col("l").alias("r"))
+    pairs = pairs.unionByName(containment_join(loose_l, loose_r, "l", "r", on=("tier",))).unionByName(
+        containment_join(loose_r, loose_l, "r", "l", on=("tier",)).select("tier", "l", "r"))
+    # the first filer of each text is found before pairing with names, so copies meet once
+    best = F.min(F.struct(F.col(order), F.col(filer)))
+    lead = f.groupBy(F.col("__f").alias("r")).agg(best.alias("best")).withColumn("bare", F.lit(False)).unionByName(
+        f.groupBy(F.col("__fs").alias("r")).agg(best.alias("best")).withColumn("bare", F.lit(True)))
+    found = pairs.withColumn("bare", F.col("tier") == 3).join(lead, ["r", "bare"]).groupBy("tier", "l").agg(F.min("best").alias("best"))
+    keyed = q.select(name, F.explode(F.array(F.struct(F.lit(1).alias("tier"), F.col("__q").alias("l")), F.struct(F.lit(2).alias("tier"), F.col("__q").alias("l")),
+                                             F.struct(F.lit(3).alias("tier"), F.col("__qs").alias("l")))).alias("e")).select(name, "e.*")
+    hits = keyed.join(found, ["tier", "l"]).select(name, "tier", F.col(f"best.{filer}").alias(filer), F.col(f"best.{order}").alias(order))
     return first_per_key(hits, [name], [F.asc("tier"), F.asc(order)])
