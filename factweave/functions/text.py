@@ -197,5 +197,5 @@ def quote_csv(c: Column) -> Column:
 
 
 def fixed3(c: Column) -> Column:
-    """Three decimals, as text."""
-    return F.format_string("%.3f", c)
+    """Three decimals, as text; null stays null (format_string alone would print it)."""
+    return F.when(c.isNotNull(), F.format_string("%.3f", c))

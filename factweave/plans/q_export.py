@@ -152,8 +152,8 @@ def extraction_methods(t):
     return t.events.select("event_id", export.extraction_method(raw).alias("method"))
 
 
-@query("page_wrapped_requests", "SELECT doc_id, length(trim(text)) BETWEEN 1 AND 10000 AS accepted FROM documents")
-def page_wrapped_requests(t):
+@query("accepted_requests", "SELECT doc_id, length(trim(text)) BETWEEN 1 AND 10000 AS accepted FROM documents")
+def accepted_requests(t):
     from ..sources.stores import accepted_text
     return t.documents.select("doc_id", accepted_text(F.col("text")).alias("accepted"))
 
