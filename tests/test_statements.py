@@ -68,16 +68,18 @@ def test_semantic_dedup_equals_brute_force(spark, seed):
     names, preds = ["Apple", "beats ", "Google", "apple"], ["acquired", "acquires", "bought", "was acquired by", "buys"]
     rows = []
     for i in range(120):
+        if i % 5 == 0 and i < 100:
+            rows += [(*rows[-1][:1], i * 100 + j, *rows[-1][2:]) for j in range(1, rnd.randint(2, 9))] if rows else []
         s, o, p = rnd.choice(names), rnd.choice(names), rnd.choice(preds)
         src = rnd.choice([None, f"{s} {p} {o}", f"{o} {rnd.choice(preds)} {s}", f"In May {s} {p} the firm {o}"])
-        rows.append((i % 2, i, s, rnd.choice(["ORG", "UNKNOWN"]), p, o, rnd.choice(["PRODUCT", "UNKNOWN"]), src, 0.5))
+        rows.append((i % 2, i * 100, s, rnd.choice(["ORG", "UNKNOWN"]), p, o, rnd.choice(["PRODUCT", "UNKNOWN"]), src, 0.5))
     names_ = [c.split()[0] for c in STMT.split(", ")]
     want = set()
     for d in (0, 1):
         want |= {(d, *x) for x in brute_dedup([dict(zip(names_, r)) for r in rows if r[0] == d], 0.65)}
-    for parts in (1, 7):
+    for parts, hot in ((1, 10**6), (7, 10**6), (3, 5)):
         df = spark.createDataFrame(rows, STMT).repartition(parts)
-        out = dedup.semantic_dedup(df, ["doc"], "seq")
+        out = dedup.semantic_dedup(df, ["doc"], "seq", hot_rows=hot)
         got = {(r["doc"], r["position"], r["subject"], r["predicate"], r["object"], r["subject_type"], r["object_type"], r["was_reversed"]) for r in out.collect()}
         assert got == want
 
@@ -133,10 +135,11 @@ def test_candidate_xml_is_repaired(spark):
 
 
 def test_repair_names(spark):
-    df = spark.createDataFrame([("<statements><stmt>A & B</stmt></statemen",)], "x string")
-    r = df.select(candidates.repair_xml(F.col("x")).alias("r")).first()["r"]
-    assert r["repairs"] == ["ampersand", "truncated closer"]
-    assert r["xml"] == "<statements><stmt>A &amp; B</stmt></statements>"
+    for end, name in (("</statement", "truncated closer"), ("</statemen", "missing root closer")):
+        df = spark.createDataFrame([("<statements><stmt>A & B</stmt>" + end,)], "x string")
+        r = df.select(candidates.repair_xml(F.col("x")).alias("r")).first()["r"]
+        assert r["repairs"] == ["ampersand", name]
+        assert r["xml"] == "<statements><stmt>A &amp; B</stmt></statements>"
 
 
 def test_best_per_source_keeps_rows_without_source(spark):
