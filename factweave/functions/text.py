@@ -15,6 +15,11 @@ WS = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
 NOT_WS = r"[^\s\p{Z}\x0b\x1c-\x1f\x{85}]"
 
 
+def bind(value: Column, body) -> Column:
+    """`body(value)` with `value` evaluated once, for expressions that use a costly value several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
@@ -159,33 +164,43 @@ def display_name(c: Column) -> Column:
     return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
 
 
+def _drop_each(c: Column, parts: list[str], hit, rest) -> Column:
+    """Folds over fixed parts in list order: where `hit` holds for a part, `rest` cuts it off once."""
+    listed = F.array(*[F.lit(p) for p in parts])
+    return F.aggregate(listed, c, lambda acc, p: F.when(hit(acc, p), rest(acc, p)).otherwise(acc))
+
+
 def normalize_person(c: Column) -> Column:
     """Lower case, leading titles removed in list order, single blanks."""
-    out = lower_strip(c)
-    for title in fixed.PERSON_TITLES:
-        out = F.regexp_replace(out, rf"^\Q{title}\E", "")
-    return collapse(out)
+    cut = lambda t, p: F.substring(t, F.length(p) + 1, F.length(t))
+    return collapse(_drop_each(lower_strip(c), fixed.PERSON_TITLES, lambda t, p: t.startswith(p), cut))
 
 
 def normalize_org(c: Column) -> Column:
     """Lower case, trailing suffixes removed in list order (so they can stack)."""
-    out = lower_strip(c)
-    for suffix in fixed.ORG_SUFFIXES:
-        out = F.regexp_replace(out, rf"\Q{suffix}\E\z", "")
-    return strip(out)
+    cut = lambda t, p: F.substring(t, F.lit(1), F.length(t) - F.length(p))
+    return strip(_drop_each(lower_strip(c), fixed.ORG_SUFFIXES, lambda t, p: t.endswith(p), cut))
 
 
-def role_matches(a: Column, b: Column) -> Column:
-    x, y = lower_strip(a), lower_strip(b)
+def same_role(x: Column, y: Column) -> Column:
+    """Role match of two lower-cased, stripped roles: equal, same synonym group, or one in the other."""
     same_group = reduce(lambda p, q: p | q, [x.isin(*g) & y.isin(*g) for g in fixed.ROLE_SYNONYMS])
     return (x == y) | same_group | y.contains(x) | x.contains(y)
 
 
-def org_matches(a: Column, b: Column) -> Column:
-    x, y = normalize_org(a), normalize_org(b)
+def same_org(x: Column, y: Column) -> Column:
+    """Match of two normalised organisation names: equal or one in the other."""
     return (x == y) | y.contains(x) | x.contains(y)
 
 
+def role_matches(a: Column, b: Column) -> Column:
+    return same_role(lower_strip(a), lower_strip(b))
+
+
+def org_matches(a: Column, b: Column) -> Column:
+    return same_org(normalize_org(a), normalize_org(b))
+
+
 def escape_xml(c: Column) -> Column:
     for raw, ent in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         c = F.replace(c, F.lit(raw), F.lit(ent))

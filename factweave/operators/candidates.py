@@ -50,11 +50,6 @@ _REPAIRS = [
 ]
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluates `value` once and uses it several times in `body`."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _repair_steps():
     def truncated(x):
         for pattern, closer in _REPAIRS:
@@ -92,14 +87,14 @@ def repair_xml(x: Column) -> Column:
     """
     state = F.struct(x.alias("xml"), F.array().cast("array<string>").alias("repairs"))
     for name, step in _repair_steps():
-        state = _let(state, _apply(name, step))
+        state = tx.bind(state, _apply(name, step))
     return state
 
 
 def _apply(name: str, step):
     def run(s: Column) -> Column:
         noted = lambda y: F.when(y != s["xml"], F.array_append(s["repairs"], F.lit(name))).otherwise(s["repairs"])
-        return _let(step(s["xml"]), lambda y: F.struct(y.alias("xml"), noted(y).alias("repairs")))
+        return tx.bind(step(s["xml"]), lambda y: F.struct(y.alias("xml"), noted(y).alias("repairs")))
 
     return run
 
