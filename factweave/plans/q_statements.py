@@ -423,3 +423,17 @@ def classified_texts(t):
 def latest_classification(t):
     log = t.events.select(F.concat(F.lit("u"), "user_id").alias("source_text"), F.col("event_type").alias("label_type"), "ts", "event_id", F.round("value", 4).alias("value"))
     return relations.latest_classification(log, "ts")
+
+
+@query("statements_of_candidates")
+def statements_of_candidates(t):
+    """The whole single-call extraction over derived answers: one document per supplier, one answer per lineitem."""
+    from .candidates_flow import ExtractionOptions, statements_from_candidates
+    st = _with_xml(statements(t, "l_suppkey"))
+    answers = st.select("doc_id", "attempt", F.substring("seq", 3, 24).alias("line"), "xml")
+    answers = answers.withColumn("beam", F.pmod(F.xxhash64("line"), F.lit(8)).cast("int")).drop("line")
+    # several one-statement answers share a beam number; the document text is the supplier's own sentence
+    docs = t.supplier.select(F.col("s_suppkey").alias("doc_id"), F.concat("s_name", F.lit(" supplies red widget. It also ships blue bolt and takes back old gear.")).alias("text"))
+    opt = ExtractionOptions(predicates=("supplier", "distributor", "contractor"))
+    out = statements_from_candidates(answers, docs, opt)
+    return out.select("doc_id", "subject", "predicate", "object", "source_text", F.round("confidence", 4).alias("confidence"), "canonical_predicate", "was_reversed")

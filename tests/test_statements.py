@@ -146,3 +146,23 @@ def test_best_per_source_keeps_rows_without_source(spark):
     rows = [(1, 1, "a", "x", "p", "b", "x", "s", 0.2), (1, 2, "a", "x", "q", "b", "x", "s", 0.9), (1, 3, "a", "x", "r", "b", "x", None, 0.1), (1, 4, "a", "x", "r", "b", "x", None, 0.1)]
     out = scoring.best_per_source(spark.createDataFrame(rows, STMT), ["doc"], [F.asc("seq")])
     assert sorted(r["seq"] for r in out.collect()) == [2, 3, 4]
+
+
+def test_candidates_to_statements(spark):
+    from factweave.plans.candidates_flow import ExtractionOptions, statements_from_candidates
+    stmt = lambda s, p, o, src: f"<stmt><subject type='ORG'>{s}</subject><object>{o}</object><predicate>{p}</predicate><text>{src}</text></stmt>"
+    wrap = lambda *x: "<statements>" + "".join(x) + "</statements>"
+    text = "Apple acquired Beats in May. Google bought YouTube long ago."
+    answers = [
+        (1, 0, 0, wrap(stmt("Apple", "acquired", "Beats", "Apple acquired Beats in May."))),
+        (1, 0, 1, wrap(stmt("apple", "acquired", "beats", "Apple acquired Beats in May."), stmt("Google", "bought", "YouTube", "Google bought YouTube long ago."))),
+        (1, 1, 0, wrap(stmt("Never", "used", "Attempt", "never used Attempt"))),
+    ]
+    a = spark.createDataFrame(answers, "doc_id int, attempt int, beam int, xml string")
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    out = statements_from_candidates(a, docs, ExtractionOptions(predicates=("acquired", "sued by"))).collect()
+    got = sorted((r["subject"].lower(), r["predicate"], r["object"].lower(), r["canonical_predicate"]) for r in out)
+    assert [g[:3] for g in got] == [("apple", "acquired", "beats"), ("google", "bought", "youtube")]
+    assert got[0][3] == "acquired"
+    single = statements_from_candidates(a, docs, ExtractionOptions(merge_beams=False, all_triples=True))
+    assert single.count() == 2
