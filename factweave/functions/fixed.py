@@ -116,8 +116,8 @@ TAXONOMY_CATEGORIES = [
     "human_benefit", "animal_harm", "animal_benefit", "environment_harm", "environment_benefit",
 ]
 
-# --- our own tables: the bundled data files of the field are not public, so these are authored
-# here. (category, predicate, description)
+# --- our own tables, authored here because no public ones exist
+# (category, predicate, description)
 PREDICATE_TABLE = [
     ("ownership", "acquired", "bought a company or asset"),
     ("ownership", "owned_by", "is owned by"),

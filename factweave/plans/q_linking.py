@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as tx
 from ..operators import linking, persons
-from .derived import WS, sql_low, sql_norm, sql_strip, statements, statements_sql
+from .derived import WS, sql_low, sql_strip, statements, statements_sql
 from .registry import query
 
 ST = statements_sql()

@@ -8,7 +8,7 @@ from ..functions import fixed
 from ..functions import text as tx
 from ..functions.vectors import best_in_context, best_of, text_cosine
 from ..operators import candidates, dedup, documents, relations, scoring
-from .derived import SENTENCES_SQL, WS, sql_low, sql_norm, sql_strip, statements, statements_sql
+from .derived import SENTENCES_SQL, WS, sql_norm, statements, statements_sql
 from .registry import query
 
 ST = statements_sql()

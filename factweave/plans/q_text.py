@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..operators import candidates, documents, html, labels, ocr
 from ..operators.ranges import page_offsets
 from ..sources import documents as src
-from .derived import PAGES_SQL, SENTENCES_SQL, WS, sql_norm, sql_strip
+from .derived import PAGES_SQL, SENTENCES_SQL, sql_norm, sql_strip
 from .registry import query
 
 NW = tx.NOT_WS
