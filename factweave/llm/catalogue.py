@@ -1,4 +1,4 @@
 """All queries of this subpackage: importing the operator modules fills the registry."""
 
-from . import mixing, sharding  # noqa: F401
+from . import idfiles, mixing, packing, sharding  # noqa: F401
 from .tables import QUERIES, SQL  # noqa: F401
