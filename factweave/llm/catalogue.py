@@ -1,4 +1,4 @@
 """All queries of this subpackage: importing the operator modules fills the registry."""
 
-from . import idfiles, langid, mixing, packing, pii, pivots, postings, sharding  # noqa: F401
+from . import idfiles, jaccard, langid, mixing, packing, pii, pivots, postings, sharding  # noqa: F401
 from .tables import QUERIES, SQL  # noqa: F401
