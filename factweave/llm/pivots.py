@@ -134,7 +134,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return run
 
     table_ = kept(rows.mapInArrow(measured(pivots.of_rows, "vec_id"), "g int, vec_id long, v array<double>, d array<double>"))
-    asked = valid(queries, nonzero=False).where(F.size("v") == dims)
+    asked = valid(queries, nonzero=False, length=dims)
     asked = kept(asked.mapInArrow(measured(pivots.of_queries, "query_id"), "g int, query_id long, v array<double>, d array<double>").withColumn("least", F.lit(float("-inf"))))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:

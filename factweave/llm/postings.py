@@ -147,7 +147,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return run
 
     posted = kept(rows.mapInArrow(placed(lambda x: nav.homes(lifted(x, most)), "vec_id"), "g int, vec_id long, v array<double>"))
-    asked = valid(queries, nonzero=True).where(F.size("v") == fitted.shape[1] - 1)
+    asked = valid(queries, nonzero=True, length=fitted.shape[1] - 1)
 
     def probing(some: DataFrame, reach: float) -> DataFrame:
         return kept(some.mapInArrow(placed(lambda x: nav.probes(np.hstack([x, np.zeros((len(x), 1))]), reach), "query_id"), "g int, query_id long, v array<double>"))

@@ -15,14 +15,16 @@ BLOCK_ROWS = 2048
 BLOCK_QUERIES = 1024
 
 
-def valid(df: DataFrame, nonzero: bool) -> DataFrame:
+def valid(df: DataFrame, nonzero: bool, length: int | None = None) -> DataFrame:
     """(vec_id, v array<double>) of the rows whose vector has no null or non-finite component (and, if asked, one that is not
-    zero) and the table's most frequent length (the greater, if two are). Rows without an id take no part."""
+    zero) and the given length, or else the most frequent one (the greater, if two are). Rows without an id take no part."""
     v = F.col("embedding").cast("array<double>")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & fine)
     if nonzero:
         rows = rows.where(F.exists("v", lambda x: x != 0))
+    if length is not None:
+        return rows.where(F.size("v") == length)
     top = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     return rows.where(F.size("v") == (top[0] if top else 0))
 
