@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -215,9 +216,8 @@ class Encoder:
     directly; the constructor makes sure that this gives what the whole tokenizer gives.
     """
 
-    FULL = 250_000  # pieces in each of two generations of the store
+    FULL = 400_000  # pieces in each of two generations of the store
     _CUT = re.compile(r"(?<=\S)(?= \S)")
-    _ODD = re.compile(r"(?:^|[\W_])[,.][ \n]")  # a mark that is not a piece of its own
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -227,6 +227,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.space = "" if not self._raw(" ") else " "
+        self.starts: dict[str, bytes] = {}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.marks = {"\1": self._raw(","), "\2": self._raw(".")}
@@ -239,20 +240,21 @@ class Encoder:
         self.direct = all(self._letters(w) == self._raw(w) for w in probe)
 
     def _raw(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _letters(self, piece: str) -> bytes:
         word = piece if self.space else piece.lower()
         signs = word.replace(" ", self.byte_sign[32]) if word.isascii() else "".join(map(self.byte_sign.__getitem__, word.encode()))
-        return np.array([t.id for t in self.model.tokenize(signs)], dtype="<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
 
-    def _miss(self, piece: str) -> bytes | None:
-        """Ids of a piece that `new` lacks; None if white space at its edge forbids a cut there."""
-        got = self.old.get(piece)
+    def _miss(self, word: str, space: str) -> bytes | None:
+        """Ids of a piece (a space and a word, or a word that starts a line) that `new` lacks; None if white space at its edge
+        forbids a cut there."""
+        store = self.starts if self.space and not space else self.old
+        got = store.get(word)
         if got is None:
-            word = piece[1:] if piece[:1] == " " else piece
             if self.direct and word.isalpha() and max(word) < "\u0250" and (self.space or word.lower().isalpha()):
-                got = self._letters(piece)
+                got = self._letters(space + word)
             elif word in self.marks:
                 got = self.marks[word]
             elif not word:
@@ -260,12 +262,20 @@ class Encoder:
             elif self.space and (word[0].isspace() or word[-1].isspace()):
                 return None
             else:
-                got = self._raw(piece)
+                got = self._raw(space + word)
             if len(word) > 64:
                 return got
+        if not space and self.space:
+            if len(self.starts) >= self.FULL:
+                self.starts.clear()
+            self.starts[word] = got
+            return got
+        if not word[-1].isalnum() and word not in self.marks:  # kept apart: a mark after it may belong to it
+            self.old[word] = got
+            return got
         if len(self.new) >= self.FULL:
             self.old, self.new = self.new, {}
-        self.new[piece] = got
+        self.new[word] = got
         return got
 
     def _slow(self, text: str) -> bytes:
@@ -275,28 +285,31 @@ class Encoder:
         """The ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
-        whole = text
         if "\1" in text or "\2" in text:
+            return self._slow(text)
+        whole = text
+        for mark, sign in ((",", "\1"), (".", "\2")):
+            text = text.replace(f"{mark} ", f" {sign} ").replace(f"{mark}\n", f" {sign}\n")
+        if "\2 \1" in text:  # a run of marks
             return self._slow(whole)
-        if not self._ODD.search(text):
-            for mark, sign in ((",", "\1"), (".", "\2")):
-                text = text.replace(f"{mark} ", f" {sign} ").replace(f"{mark}\n", f" {sign}\n")
         out: list[bytes] = []
-        space, get = self.space, self.new.get
+        space = self.space
         for i, line in enumerate(text.split("\n")):
             if i:
                 out.append(self.line_end)
             words = line.split(" ")
+            have = list(map(self.new.get, words))
             if space:
-                words = [words[0], *map(space.__add__, words[1:])]
-            have = list(map(get, words))
+                have[0] = self.starts.get(words[0]) if words[0][-1:].isalnum() else None
             if None in have:
                 for j, x in enumerate(have):
                     if x is None:
-                        x = have[j] = self._miss(words[j])
+                        word = words[j]
+                        if j + 1 < len(words) and words[j + 1] in self.marks and not word[-1:].isalnum():
+                            return self._slow(whole)
+                        x = have[j] = self._miss(word, space if j else "")
                         if x is None:
                             return self._slow(whole)
-                get = self.new.get
             out += have
         return b"".join(out)
 
