@@ -22,14 +22,11 @@ def page_documents(pages: DataFrame, doc: str = "doc_id", text: str = "text") ->
         (F.sum(F.length(text)) + F.count(F.lit(1)) - 1).alias("char_count"), F.count(F.lit(1)).alias("page_count"))
 
 
-def join_pages(pages: DataFrame, doc: str = "doc_id", text: str = "text", sep: str = "\n", max_chars: int = 50_000_000) -> DataFrame:
-    """(doc, full_text) of the documents whose pages fit in one value; longer ones have a null
-    full_text and stay what they are, page rows (every operator here also works on page rows)."""
-    sizes = pages.groupBy(doc).agg((F.sum(F.length(text)) + F.count(F.lit(1)) * len(sep)).alias("n"))
-    fits = pages.join(sizes.where(F.col("n") <= max_chars).select(doc), doc, "left_semi")
-    texts = fits.groupBy(doc).agg(F.array_join(F.transform(
+def join_pages(pages: DataFrame, doc: str = "doc_id", text: str = "text", sep: str = "\n") -> DataFrame:
+    """(doc, full_text) of every document, its pages in order. The text is one value of one row by definition; the other
+    operators here work on page rows, where a document may be of any length."""
+    return pages.groupBy(doc).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("page_number", text))), lambda s: s[text]), sep).alias("full_text"))
-    return sizes.select(doc).join(texts, doc, "left")
 
 
 def dedup_counts(sentences: DataFrame, doc: str, text: str) -> DataFrame:

@@ -12,14 +12,15 @@ from ..sources.checkpoints import checkpointed
 _RN = "__rn"
 
 
-def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1, rank: str | None = None) -> DataFrame:
-    """First k rows of each key in a total order.
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None = 1, rank: str | None = None) -> DataFrame:
+    """First k rows of each key in a total order (k None: all rows, ranked).
 
     `row_number() <= k` lets Spark plan a WindowGroupLimit below the shuffle, so each map task
     ships at most k rows per key and a hot key costs k rows per task, not its size.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
-    out = df.withColumn(_RN, F.row_number().over(w)).where(F.col(_RN) <= k)
+    out = df.withColumn(_RN, F.row_number().over(w))
+    out = out if k is None else out.where(F.col(_RN) <= k)
     return out.withColumnRenamed(_RN, rank) if rank else out.drop(_RN)
 
 

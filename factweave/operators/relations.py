@@ -36,9 +36,9 @@ def lexicon_relations(sentences: DataFrame, lexicon: list[tuple[str, str, str, f
 
 def accepted_relations(df: DataFrame, keys: list[str] | None = None, order: list[Column] = (), k: int | None = None,
                        min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Relations at or above the threshold; with keys and k also the k most confident per key."""
+    """Relations at or above the threshold; with keys ranked per key by confidence, and with k only the k best."""
     kept = df.where(F.col("confidence") >= min_confidence)
-    return kept if k is None else top_per_key(kept, keys, [F.desc("confidence"), *order], k, "rank")
+    return kept if keys is None else top_per_key(kept, keys, [F.desc("confidence"), *order], k, "rank")
 
 
 def _num(j: Column, *paths: str) -> Column:

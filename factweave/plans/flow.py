@@ -39,7 +39,6 @@ class FlowConfig:
     embedder: Callable[[Column], Column] = embed
     org_accept: float = linking.ACCEPT
     topic_min: float = 0.05
-    max_statements: int | None = None
 
 
 def relate(sentences: DataFrame, cfg: FlowConfig) -> DataFrame:
@@ -93,8 +92,6 @@ def run_stages(sentences: DataFrame, orgs: DataFrame, cfg: FlowConfig) -> DataFr
     if 2 not in cfg.stages:
         return sentences
     st = relate(sentences, cfg)
-    if cfg.max_statements is not None:
-        st = st.limit(cfg.max_statements)
     if 4 in cfg.stages:
         empty = "lookup_key string, canonical_id string, fqn string, match_confidence double"
         found = link(st, orgs, cfg) if 3 in cfg.stages else st.sparkSession.createDataFrame([], empty)

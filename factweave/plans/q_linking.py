@@ -164,7 +164,7 @@ def person_names(t):
     return x.select("known_name", tx.normalize_person(F.col("known_name")).alias("person_norm"), tx.normalize_org(F.col("org")).alias("org_norm")).distinct()
 
 
-PERSON_SQL = f"""x AS ({_PAIRS}), n AS (SELECT *, {sql_person('name')} AS n1, {sql_person('known_name')} AS n2, {sql_org('org')} AS o1, {sql_org('known_org')} AS o2 FROM x),
+PERSON_SQL = f"""x0 AS ({_PAIRS}), x AS (SELECT * FROM x0 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY similarity DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, name) <= 30), n AS (SELECT *, {sql_person('name')} AS n1, {sql_person('known_name')} AS n2, {sql_org('org')} AS o1, {sql_org('known_org')} AS o2 FROM x),
   h AS (SELECT *, coalesce(coalesce(org, '') <> '' AND (o1 = o2 OR contains(o1, o2) OR contains(o2, o1)), false) AS org_hit FROM n),
   b AS (SELECT *, least(1.0, round(similarity + CASE WHEN n1 = n2 THEN 0.25 ELSE 0 END
     + CASE WHEN coalesce(role, '') <> '' AND coalesce(known_role, '') <> '' AND {sql_role_match('role', 'known_role')} THEN 0.1 ELSE 0 END
@@ -177,7 +177,7 @@ def _ranked(t):
     return persons.rank_candidates(_pairs(t), "c_custkey", order)
 
 
-@query("person_candidates", f"WITH {PERSON_SQL} SELECT c_custkey, rank, l_orderkey, l_linenumber, l_suppkey, round(similarity, 4) AS similarity, round(boosted, 4) AS boosted FROM rk WHERE rank <= 30")
+@query("person_candidates", f"WITH {PERSON_SQL} SELECT c_custkey, rank, l_orderkey, l_linenumber, l_suppkey, round(similarity, 4) AS similarity, round(boosted, 4) AS boosted FROM rk")
 def person_candidates(t):
     return _ranked(t).select("c_custkey", "rank", "l_orderkey", "l_linenumber", "l_suppkey", F.round("similarity", 4).alias("similarity"), F.round("boosted", 4).alias("boosted"))
 

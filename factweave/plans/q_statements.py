@@ -74,9 +74,9 @@ def best_per_source(t):
     return scoring.best_per_source(statements(t, "l_suppkey"), ["doc_id"], [F.asc("seq")]).select("doc_id", "seq", *COLS)
 
 
-@query("ranked_statements", f"WITH {ST_SUPP}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, seq) AS INTEGER) AS rank FROM st) SELECT doc_id, rank, seq, subject, predicate, object, confidence FROM r WHERE rank <= 5")
+@query("ranked_statements", f"WITH {ST_SUPP}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, seq) AS INTEGER) AS rank FROM st) SELECT doc_id, rank, seq, subject, predicate, object, confidence FROM r")
 def ranked_statements(t):
-    return scoring.ranked_statements(statements(t, "l_suppkey"), ["doc_id"], [F.asc("seq")], 5).select(
+    return scoring.ranked_statements(statements(t, "l_suppkey"), ["doc_id"], [F.asc("seq")]).select(
         "doc_id", "rank", "seq", "subject", "predicate", "object", "confidence")
 
 
@@ -370,9 +370,9 @@ def lexicon_relations(t):
     return relations.lexicon_relations(s, LEXICON).select("doc_id", "sent_idx", "rel_idx", "head", "predicate", "predicate_category", "tail", "confidence")
 
 
-@query("accepted_relations", f"WITH {ST_SUPP}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, seq) AS INTEGER) AS rank FROM st WHERE confidence >= 0.75) SELECT doc_id, rank, seq, confidence FROM r WHERE rank <= 10")
+@query("accepted_relations", f"WITH {ST_SUPP}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, seq) AS INTEGER) AS rank FROM st WHERE confidence >= 0.75) SELECT doc_id, rank, seq, confidence FROM r")
 def accepted_relations(t):
-    return relations.accepted_relations(statements(t, "l_suppkey"), ["doc_id"], [F.asc("seq")], 10).select("doc_id", "rank", "seq", "confidence")
+    return relations.accepted_relations(statements(t, "l_suppkey"), ["doc_id"], [F.asc("seq")]).select("doc_id", "rank", "seq", "confidence")
 
 
 @query("relation_shapes", f"""WITH {ST}, x AS (SELECT *, CAST(substr(seq, 1, 2) AS INTEGER) % 7 AS shape FROM st)

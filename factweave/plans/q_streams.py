@@ -15,12 +15,11 @@ def stream_first_wins(t):
     return streams.drain(streams.first_wins(df, ["user_id", "event_type"]).select("user_id", "event_type"))
 
 
-@query("stream_window_counts", """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events
-  WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2""")
+@query("stream_window_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_window_counts(t):
-    """Hourly label counts; only windows the watermark has closed are emitted."""
+    """Hourly label counts of all events, in whatever order they arrive."""
     df = streams.event_time(streams.read_stream(t.spark, t.folder, "events"))
-    out = streams.drain(streams.windowed_counts(df, "ts", "1 hour", ["event_type"]))
+    out = streams.drain(streams.windowed_counts(df, "ts", "1 hour", ["event_type"]), "complete")
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
@@ -28,4 +27,4 @@ def stream_window_counts(t):
 def stream_latest_runs(t):
     """Run states kept up to date batch by batch."""
     df = streams.read_stream(t.spark, t.folder, "events").select(F.col("user_id").alias("run_id"), "ts", "event_id", F.col("event_type").alias("status"))
-    return streams.drain_latest(df, "run_id", ["ts", "event_id"], ["ts", "event_id", "status"])
+    return streams.drain(streams.latest(df, "run_id", ["ts", "event_id"], ["ts", "event_id", "status"]), "complete")

@@ -71,14 +71,14 @@ def load_html(df: DataFrame, html: str = "html") -> DataFrame:
     })
 
 
-def read_pdfs(spark: SparkSession, path: str, parser: Callable[[bytes], tuple[list[str], dict]], max_pages: int = 500) -> DataFrame:
+def read_pdfs(spark: SparkSession, path: str, parser: Callable[[bytes], tuple[list[str], dict]]) -> DataFrame:
     """(path, page_number, text, metadata) of PDF files through a parser provider run in tasks."""
     def run(batches):
         for pdf in batches:
             rows = []
             for p, content in zip(pdf["path"], pdf["content"]):
                 pages, meta = parser(bytes(content))
-                rows.extend((p, i + 1, t.strip(), {k: str(v) for k, v in meta.items() if v}) for i, t in enumerate(pages[:max_pages]))
+                rows.extend((p, i + 1, t.strip(), {k: str(v) for k, v in meta.items() if v}) for i, t in enumerate(pages))
             yield pd.DataFrame(rows, columns=["path", "page_number", "text", "metadata"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")

@@ -16,55 +16,45 @@ def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def event_time(df: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Watermarks need a timestamp with time zone semantics; table timestamps have none."""
-    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
+    """Windows of a stream need a timestamp with time zone semantics; table timestamps have none."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
 def first_wins(df: DataFrame, keys: list[str]) -> DataFrame:
-    """First row of each key inside the watermark; state is dropped as the watermark passes."""
-    return df.dropDuplicatesWithinWatermark(keys)
+    """First row of each key over the whole stream. State holds every key seen, so the keys should have a scope that ends
+    (a run, a document)."""
+    return df.dropDuplicates(keys)
 
 
 def windowed_counts(df: DataFrame, ts: str, width: str, keys: list[str]) -> DataFrame:
-    """Counts per tumbling window and key, emitted once when the window is closed."""
+    """Counts per tumbling window and key. Nothing is late and no window stays back: drain with complete output."""
     out = df.groupBy(F.window(ts, width), *keys).agg(F.count(F.lit(1)).alias("n"))
     return out.select(F.col("window.start").alias("window_start"), *keys, "n")
 
 
-def _place(spark: SparkSession) -> str:
-    return f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
-
-
-def drain(df: DataFrame) -> DataFrame:
-    """Runs an append stream over everything available and returns what it wrote."""
-    spark = df.sparkSession
-    place = _place(spark)
-    q = (df.writeStream.format("parquet").outputMode("append").option("path", f"{place}/out")
-         .option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{place}/out")
-
+def latest(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
+    """The latest row per key as a streaming aggregate: Spark keeps the state, a row per key."""
+    rest = [c for c in columns if c not in order]
+    return df.groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("s")).select(key, "s.*")
 
-def drain_latest(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
-    """Keeps the latest row per key over all micro-batches as a versioned table.
 
-    Each batch is reduced to one row per key before it meets the stored state; a batch writes a new
-    version and is idempotent, so a restarted batch rewrites the same folder.
-    """
+def drain(df: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over everything available and returns what it gave: all batches of an append stream, the last state of
+    a complete one. A batch writes its own folder, so one that is run again changes nothing; an empty source gives an
+    empty result."""
     spark = df.sparkSession
-    place = _place(spark)
-    rest = [c for c in columns if c not in order]
-    schema = df.select(key, *order, *rest).schema
+    place = f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
+    done: list[int] = []
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        new = batch.select(key, *order, *rest)
-        if batch_id > 0:
-            new = new.unionByName(session.read.schema(schema).parquet(f"{place}/v{batch_id - 1}"))
-        last = new.groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("s")).select(key, "s.*")
-        last.write.mode("overwrite").parquet(f"{place}/v{batch_id}")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/batch-{batch_id}")
+        done.append(batch_id)
 
-    q = df.writeStream.foreachBatch(merge).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    q = (df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{place}/state")
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{place}/v{q.lastProgress['batchId']}")
+    batches = sorted(set(done)) if mode == "append" else done[-1:]
+    if not batches:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(*[f"{place}/batch-{b}" for b in batches])

@@ -99,10 +99,10 @@ def test_fetch_retries_and_keeps_errors(spark):
     assert df.where("url = 'http://bad'").first()["error"] == "no route"
 
 
-def test_join_pages_leaves_oversize_documents_as_pages(spark):
+def test_join_pages_joins_every_document(spark):
     pages = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, "x" * 50)], "doc_id int, page_number int, text string")
-    got = {r["doc_id"]: r["full_text"] for r in join_pages(pages, max_chars=20).collect()}
-    assert got == {1: "a\nb", 2: None}
+    got = {r["doc_id"]: r["full_text"] for r in join_pages(pages).collect()}
+    assert got == {1: "a\nb", 2: "x" * 50}
 
 
 def test_cache_ttl_and_upsert(spark):
