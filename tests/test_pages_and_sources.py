@@ -67,7 +67,7 @@ def test_repeat_cutting_equals_the_regex():
         head = "".join(rnd.choice("abcd\n ") for _ in range(rnd.randint(0, 60)))
         cases.append(head + unit * rnd.randint(5, 25) + head[::-1])
     for t in cases:
-        assert ocr._cut_repeats(t) == brute_cut(t), repr(t)
+        assert ocr.without_loops(t) == brute_cut(t), repr(t)
 
 
 def test_predicate_and_taxonomy_files(spark, tmp_path):
