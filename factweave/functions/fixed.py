@@ -149,3 +149,12 @@ TAXONOMY_TABLE = [
     ("environment_harm", "pollution"), ("environment_harm", "deforestation"),
     ("environment_benefit", "reforestation"), ("environment_benefit", "recycling"),
 ]
+
+# --- fixed values: repair of model answers in XML ----------------------------------------------
+TRUNCATED_CLOSERS = [
+    (r"</statement[^s>]*$", "</statements>"), (r"</stm[^t>]*$", "</stmt>"),
+    (r"</subjec[^t>]*$", "</subject>"), (r"</objec[^t>]*$", "</object>"),
+    (r"</predica[^t>]*$", "</predicate>"), (r"</tex[^t>]*$", "</text>"),
+]
+SPLIT_SENTENCE = r"(?s)<stmt>.*?<text>(.*?)</text>.*?</stmt>"
+BARE_AMPERSAND = r"&(?!(amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as tx
 from .ranking import first_per_key
 
@@ -36,23 +37,16 @@ def split_xml(c: Column) -> Column:
 
 def parse_split_xml(df: DataFrame, xml: str) -> DataFrame:
     """Sentences of a splitter answer: lazy match per <stmt>, stripped, blanks dropped, no dedup."""
-    found = F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<stmt>.*?<text>(.*?)</text>.*?</stmt>"), F.lit(1))
+    found = F.regexp_extract_all(F.col(xml), F.lit(fixed.SPLIT_SENTENCE), F.lit(1))
     kept = F.filter(F.transform(found, tx.strip), lambda s: F.length(s) > 0)
     return df.select("*", F.posexplode(kept).alias("sent_idx", "sentence"))
 
 
 # ---- candidate XML ---------------------------------------------------------------------------
 
-_REPAIRS = [
-    (r"</statement[^s>]*$", "</statements>"), (r"</stm[^t>]*$", "</stmt>"),
-    (r"</subjec[^t>]*$", "</subject>"), (r"</objec[^t>]*$", "</object>"),
-    (r"</predica[^t>]*$", "</predicate>"), (r"</tex[^t>]*$", "</text>"),
-]
-
-
 def _repair_steps():
     def truncated(x):
-        for pattern, closer in _REPAIRS:
+        for pattern, closer in fixed.TRUNCATED_CLOSERS:
             x = F.regexp_replace(x, pattern, closer)
         return x
 
@@ -72,7 +66,7 @@ def _repair_steps():
         return F.when(at > 0, F.substring(x, F.lit(1), at + 12)).otherwise(x)
 
     return [
-        ("ampersand", lambda x: F.regexp_replace(x, r"&(?!(amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);)", "&amp;")),
+        ("ampersand", lambda x: F.regexp_replace(x, fixed.BARE_AMPERSAND, "&amp;")),
         ("less-than", lambda x: F.regexp_replace(
             x, r"<(?!(?:statements|stmt|subject|object|predicate|text)\b)(?=\s|[a-z]{2,}[^a-z/>])", "&lt;")),
         ("truncated closer", truncated), ("missing root closer", root_closer),
