@@ -136,18 +136,16 @@ def _category_centroids(labels: DataFrame, category: str, vec: str) -> DataFrame
 
 
 def topics_hierarchical(texts: DataFrame, labels: DataFrame, text_id: str, text_vec: str, category: str, label: str,
-                        label_vec: str, top_categories: int = 3, min_score: float = 0.8, max_categories: int = 1000) -> DataFrame:
+                        label_vec: str, top_categories: int = 3, min_score: float = 0.8) -> DataFrame:
     """Topics of each text vector: labels of its best categories whose calibrated score reaches the minimum.
 
     Category scores come from centroids; labels are then found by a threshold join inside the chosen
     categories, whose bound on the raw cosine follows from inverting the calibration.
     """
     centroids = _category_centroids(labels, category, label_vec)
-    cats = centroids.limit(max_categories + 1).collect()
-    if len(cats) <= max_categories:
-        best = _categories_by_matrix(texts, cats, text_id, text_vec, category, top_categories)
-    else:
-        best = _categories_by_join(texts, centroids, text_id, text_vec, category, top_categories)
+    # the best categories by an exact top-k join on the dot product
+    hits = similarity_join(texts, centroids, text_id, text_vec, category, "centroid", top_categories, -1.0, unit_refs=False)
+    best = hits.withColumnsRenamed({"similarity": "category_score", "rank": "category_rank"})
     chosen = best.join(texts.select(text_id, F.col(text_vec).alias("__v")), text_id)
     floor = calibrate_inverse(min_score) - 1e-9 if min_score > 0 else -1.0
     keyed = chosen.select(category, F.struct(F.col(text_id), F.col("category_rank")).alias("q"), "__v")
@@ -156,36 +154,6 @@ def topics_hierarchical(texts: DataFrame, labels: DataFrame, text_id: str, text_
     return scored.join(best, [text_id, "category_rank"])
 
 
-def _categories_by_matrix(texts, cats, text_id, text_vec, category, k):
-    """Top categories with the (size-checked) centroid table as one matrix in the task."""
-    names = np.array([c[category] for c in cats])
-    order = np.argsort(names, kind="stable")
-    names = names[order]
-    matrix = np.array([c["centroid"] for c in cats], dtype=np.float64)[order]
-    k = min(k, len(names))
-
-    @F.pandas_udf("array<struct<pos:int,score:double>>")
-    def rank(vecs: pd.Series) -> pd.Series:
-        v = np.array(vecs.tolist(), dtype=np.float64)
-        size = np.linalg.norm(v, axis=1, keepdims=True)
-        sims = np.round(np.divide(v, size, out=np.zeros_like(v), where=size > 0) @ matrix.T, 9)
-        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        return pd.Series([[{"pos": int(j), "score": float(sims[i, j])} for j in row] for i, row in enumerate(top)])
-
-    kind = "int" if names.dtype.kind == "i" and names.dtype.itemsize <= 4 else None
-    lookup = F.array(*[F.lit(n.item() if hasattr(n, "item") else n) for n in names])
-    rows = texts.select(text_id, F.posexplode(rank(F.col(text_vec))).alias("r", "c"))
-    picked = F.element_at(lookup, F.col("c.pos") + 1)
-    return rows.select(text_id, (F.col("r") + 1).alias("category_rank"), (picked.cast(kind) if kind else picked).alias(category),
-                       F.col("c.score").alias("category_score"))
-
-
-def _categories_by_join(texts, centroids, text_id, text_vec, category, k):
-    """The same for a category table too large to hold: an exact top-k join on the dot product."""
-    hits = similarity_join(texts, centroids, text_id, text_vec, category, "centroid", k, -1.0, unit_refs=False)
-    return hits.withColumnsRenamed({"similarity": "category_score", "rank": "category_rank"})
-
-
 def topics_flat(texts: DataFrame, labels: DataFrame, text_id: str, text_vec: str, label: str, label_vec: str, k: int = 5,
                 min_score: float = 0.0) -> DataFrame:
     """Best k labels of each text over the whole label set, with calibrated confidence."""

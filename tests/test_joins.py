@@ -27,25 +27,23 @@ def brute(q, r, k, lo, qk=None, rk=None):
     return out
 
 
-@pytest.mark.parametrize("small", [0, 4096])
 @pytest.mark.parametrize("k,lo", [(5, 0.3), (None, 0.9), (3, -1.0)])
-def test_similarity_join_is_exact(spark, monkeypatch, small, k, lo):
+def test_similarity_join_is_exact(spark, monkeypatch, k, lo):
     monkeypatch.setattr(similarity, "BLOCK", 37)
     q, r = vectors(150, seed=1), vectors(400, seed=2)
     qd = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "q long, v array<float>")
     rd = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r)], "r long, w array<float>")
-    got = {(x["q"], x["r"]) for x in similarity.similarity_join(qd, rd, "q", "v", "r", "w", k, lo, small=small).collect()}
+    got = {(x["q"], x["r"]) for x in similarity.similarity_join(qd, rd, "q", "v", "r", "w", k, lo).collect()}
     assert got == brute(q, r, k, lo)
 
 
-@pytest.mark.parametrize("small", [0, 4096])
-def test_similarity_join_within_keys(spark, monkeypatch, small):
+def test_similarity_join_within_keys(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK", 16)
     q, r = vectors(80, seed=3), vectors(200, seed=4)
     qk, rk = [i % 3 for i in range(80)], [0 if i % 3 else i % 4 for i in range(200)]  # one hot key
     qd = spark.createDataFrame([(i, qk[i], v.tolist()) for i, v in enumerate(q)], "q long, g int, v array<float>")
     rd = spark.createDataFrame([(i, rk[i], v.tolist()) for i, v in enumerate(r)], "r long, g int, w array<float>")
-    got = {(x["q"], x["r"]) for x in similarity.similarity_join(qd, rd, "q", "v", "r", "w", 4, 0.2, on=("g",), small=small).collect()}
+    got = {(x["q"], x["r"]) for x in similarity.similarity_join(qd, rd, "q", "v", "r", "w", 4, 0.2, on=("g",)).collect()}
     assert got == brute(q, r, 4, 0.2, qk, rk)
 
 
