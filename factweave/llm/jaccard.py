@@ -15,10 +15,11 @@ from .tables import query, table
 
 WORDS = 5
 PERCENT = 75
-GROUP_DOCS, GROUP_GRAMS = 4096, 1 << 21  # texts (n-grams) whose incidence is laid out at once
-BLOCK = 1_500_000  # incidences in a block of the matrix
+GROUP_DOCS, GROUP_GRAMS = 4096, 3 << 19  # texts (n-grams) whose incidence is laid out at once
+BLOCK = 1_000_000  # incidences in a block of the matrix
 LOCAL_SHARE, SHARE = 0.02, 0.01  # an n-gram in that share of a group (of all texts) is a frequent one
-ROUNDS = 3
+ROUNDS = 2
+SPREAD = 0.08  # how far from the most shared set a round may look for the one it pairs a column with
 KEY = (1 << 48) - 1
 
 
@@ -204,16 +205,42 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(both.where(overlap * 100 >= (F.col("na") + F.col("nb") - overlap) * PERCENT).select("a", "b"), "links")
 
 
+def _open_pairs(columns: DataFrame, sets: DataFrame, use: Column) -> DataFrame:
+    """Pairs (a, b), each once, of sets that share a column but not a component and whose sizes and overlap so far allow a link.
+
+    In each column the sets outside its largest component meet all the others, so that a column of one large component and
+    few strays costs no more than the strays times the column. The overlap so far is that of the columns in use; what may
+    still come is what either set has behind the last of them. A pair counts in its first common column only.
+    """
+    prefix = sets.where(use > 0).select("set_id", F.slice("grams", F.lit(1), F.greatest(use, F.lit(1)).cast("int")).alias("prefix"))
+    top = columns.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("gram").agg(F.max(F.struct("c", "comp")).alias("t"))
+    rows = columns.join(top.select("gram", F.col("t.comp").alias("top")), "gram").join(prefix, "set_id")
+    names = ["set_id", "comp", "n", "m", "pos", "prefix"]
+    a = rows.where("comp <> top").select("gram", *[F.col(c).alias(f"{c}_a") for c in names])
+    b = rows.select("gram", "top", *[F.col(c).alias(f"{c}_b") for c in names])
+
+    def may_link(most: Column) -> Column:
+        return most * 100 >= (F.col("n_a") + F.col("n_b") - most) * PERCENT
+
+    once = (F.col("comp_b") == F.col("top")) | (F.col("comp_a") < F.col("comp_b"))
+    at_most = F.least("pos_a", "pos_b") + 1 + F.least(F.col("m_a") - F.col("pos_a"), F.col("m_b") - F.col("pos_b")) - 1
+    common = F.array_intersect("prefix_a", "prefix_b")
+    last = F.element_at(common, -1)
+    behind = F.least(F.col("m_a") - F.array_position("prefix_a", last), F.col("m_b") - F.array_position("prefix_b", last))
+    meet = a.join(b, (a["gram"] == b["gram"]) & (F.col("comp_a") != F.col("comp_b")) & once & _alike("n_a", "n_b") & may_link(at_most)
+                  & (F.element_at(common, 1) == a["gram"]) & may_link(F.size(common) + behind))
+    return meet.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"))
+
+
 def set_components(sets: DataFrame) -> DataFrame:
     """(node, comp) of the sets that link with another one: two sets link when their overlap is at least PERCENT of their
     union.
 
     Linked sets share one of their rarest n - ceil(n * PERCENT / 100) + 1 n-grams; n-grams that no other set has are of
     no use there. So the product of these columns of the matrix holds every link. Of it a few rounds first take, in each
-    column, only the pairs of one set (by a hash, another one each round) with the sets not yet connected to it. Then
-    all pairs that are still in different components are taken from every column, their overlaps added up, and a pair
-    goes on only if its sizes, and the overlap so far plus all that may still come, allow a link. Pairs are settled by
-    whole sets. Links inside a component are not looked for, as they change nothing.
+    column, only the pairs of one set (another one each round) with the sets not yet connected to it. Then all pairs that are
+    still in different components are taken, as `_open_pairs` says. Pairs are settled by whole sets. Links inside a
+    component are not looked for, as they change nothing.
     """
     need = F.expr(f"(n * {PERCENT} + 99) div 100")
     use = (F.col("n") - need + 1) - (F.col("n") - F.size("grams"))
@@ -224,21 +251,13 @@ def set_components(sets: DataFrame) -> DataFrame:
         several = entries.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
         mixed = written(entries.join(several, "gram", "left_semi"), "columns")
         if turn < ROUNDS:
-            pick = F.min(F.struct(F.xxhash64("set_id", F.lit(turn)), "set_id", "n", "comp")).alias("p")
+            # the set that shares most of itself is likely near the middle of its group; later rounds also try others
+            own = 1 - F.col("m") / F.col("n") + F.pmod(F.xxhash64("set_id", F.lit(turn)), F.lit(1000)) * (SPREAD * turn / 1000)
+            pick = F.min(F.struct(own, "set_id", "n", "comp")).alias("p")
             picked = mixed.groupBy("gram").agg(pick).select("gram", F.col("p.set_id").alias("a"), F.col("p.n").alias("na"), F.col("p.comp").alias("ca"))
             pairs = mixed.join(picked, "gram").where((F.col("comp") != F.col("ca")) & _alike("n", "na")).select("a", F.col("set_id").alias("b")).distinct()
         else:
-            sides = mixed.groupBy("gram", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-            left = sides.select("gram", F.col("comp").alias("ca"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
-            right = sides.select("gram", F.col("comp").alias("cb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
-            near = (F.col("ha") * 100 >= F.col("lb") * PERCENT) & (F.col("hb") * 100 >= F.col("la") * PERCENT)
-            meet = left.join(right, "gram").where((F.col("ca") < F.col("cb")) & near).select("gram", "ca", "cb")
-            a = mixed.select("gram", F.col("comp").alias("ca"), F.col("set_id").alias("a"), F.col("n").alias("na"), (F.col("m") - F.col("pos") - 1).alias("ra"))
-            b = mixed.select("gram", F.col("comp").alias("cb"), F.col("set_id").alias("b"), F.col("n").alias("nb"), (F.col("m") - F.col("pos") - 1).alias("rb"))
-            products = meet.join(a, ["gram", "ca"]).join(b, ["gram", "cb"]).where(_alike("na", "nb"))
-            sums = products.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min("ra").alias("ra"), F.min("rb").alias("rb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-            most = F.col("k") + F.least("ra", "rb")
-            pairs = sums.where(most * 100 >= (F.col("na") + F.col("nb") - most) * PERCENT)
+            pairs = _open_pairs(mixed, sets, use)
         new = _linked(pairs, sets)
         links = new if links is None else links.union(new)
         labels = components(links)
