@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_or_empty
 from .tables import query, table
@@ -173,8 +174,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                         lang[i], score[i], odd[i] = model.languages[k], float(min(1.0, max(0.0, p))), bool(a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(odd, pa.bool_())], [*keep, *new])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in new)
-    return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(predict, f"{fields}, lang_pred string, score double, ambiguous boolean")
+    told = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
+    schema = T.StructType([*[f for f in docs.schema if f.name not in new], *told])
+    return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(predict, schema)
 
 
 def fold() -> Column:
