@@ -18,8 +18,8 @@ PERCENT = 75
 GROUP_DOCS, GROUP_GRAMS = 4096, 3 << 19  # texts (n-grams) whose incidence is laid out at once
 BLOCK = 1_000_000  # incidences in a block of the matrix
 LOCAL_SHARE, SHARE = 0.02, 0.01  # an n-gram in that share of a group (of all texts) is a frequent one
-ROUNDS = 2
-SPREAD = 0.08  # how far from the most shared set a round may look for the one it pairs a column with
+ROUNDS = 1
+SPREAD = 0.08  # how far from the most shared set a later round may look for the one it pairs a column with
 KEY = (1 << 48) - 1
 
 
@@ -205,14 +205,16 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(both.where(overlap * 100 >= (F.col("na") + F.col("nb") - overlap) * PERCENT).select("a", "b"), "links")
 
 
-def _open_pairs(columns: DataFrame, sets: DataFrame, use: Column) -> DataFrame:
+def _open_pairs(columns: DataFrame) -> DataFrame:
     """Pairs (a, b), each once, of sets that share a column but not a component and whose sizes and overlap so far allow a link.
 
     In each column the sets outside its largest component meet all the others, so that a column of one large component and
     few strays costs no more than the strays times the column. The overlap so far is that of the columns in use; what may
-    still come is what either set has behind the last of them. A pair counts in its first common column only.
+    still come is what either set has behind the last of them. A pair counts in its last common column only.
     """
-    prefix = sets.where(use > 0).select("set_id", F.slice("grams", F.lit(1), F.greatest(use, F.lit(1)).cast("int")).alias("prefix"))
+    # of a set's n-grams only those in these columns can be common with a set of another component
+    listed = columns.groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("pos", "gram"))).alias("p"))
+    prefix = listed.select("set_id", F.col("p.gram").alias("prefix"))
     top = columns.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("gram").agg(F.max(F.struct("c", "comp")).alias("t"))
     rows = columns.join(top.select("gram", F.col("t.comp").alias("top")), "gram").join(prefix, "set_id")
     names = ["set_id", "comp", "n", "m", "pos", "prefix"]
@@ -223,12 +225,11 @@ def _open_pairs(columns: DataFrame, sets: DataFrame, use: Column) -> DataFrame:
         return most * 100 >= (F.col("n_a") + F.col("n_b") - most) * PERCENT
 
     once = (F.col("comp_b") == F.col("top")) | (F.col("comp_a") < F.col("comp_b"))
-    at_most = F.least("pos_a", "pos_b") + 1 + F.least(F.col("m_a") - F.col("pos_a"), F.col("m_b") - F.col("pos_b")) - 1
+    behind = F.least(F.col("m_a") - F.col("pos_a"), F.col("m_b") - F.col("pos_b")) - 1
+    at_most = F.least("pos_a", "pos_b") + 1 + behind
     common = F.array_intersect("prefix_a", "prefix_b")
-    last = F.element_at(common, -1)
-    behind = F.least(F.col("m_a") - F.array_position("prefix_a", last), F.col("m_b") - F.array_position("prefix_b", last))
     meet = a.join(b, (a["gram"] == b["gram"]) & (F.col("comp_a") != F.col("comp_b")) & once & _alike("n_a", "n_b") & may_link(at_most)
-                  & (F.element_at(common, 1) == a["gram"]) & may_link(F.size(common) + behind))
+                  & (F.element_at(common, -1) == a["gram"]) & may_link(F.size(common) + behind))
     return meet.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"))
 
 
@@ -257,7 +258,7 @@ def set_components(sets: DataFrame) -> DataFrame:
             picked = mixed.groupBy("gram").agg(pick).select("gram", F.col("p.set_id").alias("a"), F.col("p.n").alias("na"), F.col("p.comp").alias("ca"))
             pairs = mixed.join(picked, "gram").where((F.col("comp") != F.col("ca")) & _alike("n", "na")).select("a", F.col("set_id").alias("b")).distinct()
         else:
-            pairs = _open_pairs(mixed, sets, use)
+            pairs = _open_pairs(mixed)
         new = _linked(pairs, sets)
         links = new if links is None else links.union(new)
         labels = components(links)
