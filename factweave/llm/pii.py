@@ -18,6 +18,7 @@ from .tables import query, table
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("local_phone", "person", "secret", "id_number")
 RUN = 64  # words of a line that are decoded together
+OVERLAP = 16  # more than the words of a span
 
 # ------------------------------------------------------------------ fixed patterns
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -370,7 +371,9 @@ def _plausible(kind: str, text: str, titled: bool) -> bool:
 
 
 def field_spans(texts: pa.Array, field: Field) -> list[list[tuple[str, int, int]]]:
-    """The field's spans in each text, by Viterbi over runs of at most RUN words of a line.
+    """The field's spans in each text, by Viterbi over runs of RUN words of a line and OVERLAP words on either side.
+
+    A span counts if it touches the run's own words; the words before and after, and a form of address, are the line's.
 
     A run is decoded only if some word could leave O: if for every word the best other tag is behind O by more than two
     transitions can make up for, the best path is O throughout, so leaving the run out changes nothing.
@@ -391,17 +394,20 @@ def field_spans(texts: pa.Array, field: Field) -> list[list[tuple[str, int, int]
             doc = np.searchsorted(own, s, side="right") - 1
             fresh = np.concatenate([[True], (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])])
             first = np.maximum.accumulate(np.where(fresh, np.arange(len(s)), 0))
-            fresh |= (np.arange(len(s)) - first) % RUN == 0
             scores = field.emissions(types, fresh)
             open_ = scores[:, 1:].max(axis=1) - scores[:, 0] + gain >= 0
-            run = np.cumsum(fresh) - 1
-            begin = np.flatnonzero(fresh)
-            size = np.diff(np.append(begin, len(s)))
-            chosen = np.unique(run[open_])
+            core = fresh | ((np.arange(len(s)) - first) % RUN == 0)
+            begin = np.flatnonzero(core)
+            end = np.append(begin[1:], len(s))
+            heads = np.append(np.flatnonzero(fresh), len(s))
+            from_ = np.maximum(begin - OVERLAP, first[begin])
+            size = np.minimum(end + OVERLAP, heads[np.searchsorted(heads, begin, side="right")]) - from_
+            chosen = np.unique((np.cumsum(core) - 1)[open_])
+            spans: dict[tuple[int, int], int] = {}
             for c in range(0, len(chosen), 2048):
                 runs = chosen[c: c + 2048]
                 t = int(size[runs].max())
-                at = np.minimum(begin[runs][:, None] + np.arange(t), len(s) - 1)
+                at = np.minimum(from_[runs][:, None] + np.arange(t), len(s) - 1)
                 tags = field.decode(scores[at], size[runs])
                 for r, row in zip(runs, tags):
                     i = 0
@@ -413,15 +419,23 @@ def field_spans(texts: pa.Array, field: Field) -> list[list[tuple[str, int, int]
                         j = i + 1
                         while j < size[r] and row[j] and TAGS[row[j]][0] == "I":
                             j += 1
-                        d, a, z = int(doc[begin[r]]), int(s[begin[r] + i]), int(e[begin[r] + j - 1])
-                        text = data[a:z].tobytes().decode("utf-8", "replace")
-                        left = len(text) - len(text.lstrip("\"'.,;:!?<>[]"))
-                        text = text.strip("\"'.,;:!?<>[]")
-                        titled = i > 0 and cues[begin[r] + i - 1] == _TITLE
-                        if text and _plausible(TAGS[k][2:], text, titled):
-                            start = len(data[own[d]: a].tobytes().decode("utf-8", "replace")) + left
-                            out[lo + d].append((TAGS[k][2:], start, start + len(text)))
+                        x, y = int(from_[r]) + i, int(from_[r]) + j
+                        if x < end[r] and y > begin[r]:
+                            spans[x, y] = k
                         i = j
+            reach = 0
+            for (x, y), k in sorted(spans.items(), key=lambda v: (v[0][0], -v[0][1])):
+                if x < reach:  # two runs cut it differently
+                    continue
+                reach = y
+                d, a, z = int(doc[x]), int(s[x]), int(e[y - 1])
+                text = data[a:z].tobytes().decode("utf-8", "replace")
+                left = len(text) - len(text.lstrip("\"'.,;:!?<>[]"))
+                text = text.strip("\"'.,;:!?<>[]")
+                titled = not fresh[x] and cues[x - 1] == _TITLE
+                if text and _plausible(TAGS[k][2:], text, titled):
+                    start = len(data[own[d]: a].tobytes().decode("utf-8", "replace")) + left
+                    out[lo + d].append((TAGS[k][2:], start, start + len(text)))
         lo = hi
     return out
 
