@@ -58,7 +58,7 @@ def codewords(classes: int) -> np.ndarray:
     n = int(np.ceil(12 * np.log2(classes)))
     for _ in range(64):
         code = rng.choice([-1.0, 1.0], size=(classes, n))
-        gap = (n - np.abs(code @ code.T - n * np.eye(classes) * 2).max()) / 2  # also keeps rows from being opposites
+        gap = (n - np.abs(code @ code.T - n * np.eye(classes)).max()) / 2  # also keeps rows from being opposites
         if gap > most and (np.abs(code.sum(axis=0)) < classes).all():
             best, most = code, gap
     return best if best is not None else code
