@@ -21,11 +21,11 @@ MARKS = {"prefix": "<P>", "suffix": "<S>", "middle": "<M>"}
 ORDER = {"psm": ("prefix", "suffix", "middle"), "spm": ("suffix", "prefix", "middle")}
 PLACE = {"": 0, "<P>": 0, "<M>": 1, "<S>": 2}  # where what follows a mark stood in the text
 CHUNK = 1 << 14  # bytes of text in a piece: whole units, or a part of a longer unit
-BATCH = 1 << 22  # bytes of text in a batch of pieces
+BATCH = 1 << 21  # bytes of text in a batch of pieces
+SLICE = 512  # pieces looked at together
 LAST = 1 << 62
 
 PIECES = "key binary, pos long, copies long, mark string, body binary, doc_id long, n long, form string, prefix_chars long, middle_chars long"
-_ABOUT = ["doc_id", "n", "form", "prefix_chars", "middle_chars"]
 
 
 def plan(doc_id: int | None, text: bytes, line_ends: np.ndarray, seed: int = SEED, rate: int = RATE, spm_share: int = SPM_SHARE) -> tuple[str, int, list[tuple[str, int, int]], int, int]:
@@ -118,24 +118,35 @@ class _Document:
     parts: list = field(default_factory=list)
 
 
-def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Document, str | None, bytes]]:
-    """(document, mark, body) of each place of each document in turn, and (document, None, b"") behind its last one. Rows
-    of equal documents stand side by side and count once."""
-    doc = None
+def bodies_of(column: pa.Array) -> tuple[memoryview, list[int]]:
+    """The bytes of a binary column and where its values begin and end, without a copy."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset: column.offset + len(column) + 1].tolist()
+    return memoryview(data) if data is not None else memoryview(b""), at
+
+
+def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[_Document, str | None, memoryview, int]]]]:
+    """(rows, events) of slices of the sorted pieces: an event is (document, mark, body, row) for each place of a document, and
+    (document, None, nothing, -1) behind its last one. Rows of equal documents stand side by side and count once."""
+    doc, rows = None, None
     for batch in batches:
-        column = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
-        for i, (key, pos, mark, body) in enumerate(zip(column["key"], column["pos"], column["mark"], column["body"])):
-            if doc is None or key != doc.key:
-                if doc is not None:
-                    yield doc, None, b""
-                doc = _Document(key, tuple(column[c][i] for c in _ABOUT))
-            if pos == 0:
-                doc.copies += column["copies"][i]
-            if pos != doc.pos:
-                doc.pos = pos
-                yield doc, mark, body
+        for first in range(0, batch.num_rows, SLICE):
+            rows, events = batch.slice(first, SLICE), []
+            key, pos, copies, mark = (rows.column(c).to_pylist() for c in range(4))
+            data, at = bodies_of(rows.column(4))
+            for i in range(len(key)):
+                if doc is None or key[i] != doc.key:
+                    if doc is not None:
+                        events.append((doc, None, memoryview(b""), -1))
+                    doc = _Document(key[i], tuple(rows.column(c)[i].as_py() for c in range(5, 10)))
+                if pos[i] == 0:
+                    doc.copies += copies[i]
+                if pos[i] != doc.pos:
+                    doc.pos = pos[i]
+                    events.append((doc, mark[i], data[at[i]: at[i + 1]], i))
+            yield rows, events
     if doc is not None:
-        yield doc, None, b""
+        yield rows, [(doc, None, memoryview(b""), -1)]
 
 
 RESTORED = "key binary, back long, body binary, copies long, doc_id long, n long, form string, prefix_chars long, middle_chars long, output_sha256 string"
@@ -154,21 +165,23 @@ def digests(docs: DataFrame, seed: int = SEED, rate: int = RATE, spm_share: int
     """
 
     def outputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held = [], 0
-        for doc, mark, body in _stream(batches):
-            if mark is None:
-                out.append((doc.key, LAST, b"", doc.copies, *doc.about, doc.digest.hexdigest()))
-            else:
+        for rows, events in _stream(batches):
+            kept, back, ends = [], [], []
+            for doc, mark, body, row in events:
+                if mark is None:
+                    ends.append((doc.key, LAST, b"", doc.copies, *doc.about, doc.digest.hexdigest()))
+                    continue
                 doc.digest.update(mark.encode())
                 doc.digest.update(body)
                 doc.segment = PLACE[mark] if mark else doc.segment
-                out.append((doc.key, (doc.segment << 40) + doc.pos, body, *[None] * 7))
-            held += len(body) + 64
-            if held >= BATCH:
-                yield _batch(out, RESTORED)
-                out, held = [], 0
-        if out:
-            yield _batch(out, RESTORED)
+                kept.append(row)
+                back.append((doc.segment << 40) + doc.pos)
+            if kept:
+                some = rows.select(["key", "body"]) if len(kept) == rows.num_rows else rows.select(["key", "body"]).take(pa.array(kept))
+                nothing = [pa.nulls(len(kept), _ARROW[f.split()[1]]) for f in RESTORED.split(", ")[3:]]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(back), some.column(1), *nothing], [f.split()[0] for f in RESTORED.split(", ")])
+            if ends:
+                yield _batch(ends, RESTORED)
 
     result = "doc_id long, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string"
 
@@ -176,10 +189,10 @@ def digests(docs: DataFrame, seed: int = SEED, rate: int = RATE, spm_share: int
         digest = hashlib.sha256()
         for batch in batches:
             out = []
-            backs, bodies = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for i, (back, body) in enumerate(zip(backs, bodies)):
+            data, at = bodies_of(batch.column(2))
+            for i, back in enumerate(batch.column(1).to_pylist()):
                 if back != LAST:
-                    digest.update(body)
+                    digest.update(data[at[i]: at[i + 1]])
                     continue
                 copies, *about, output = (batch.column(c)[i].as_py() for c in range(3, 10))
                 row = (*about, output, digest.hexdigest())
@@ -202,13 +215,14 @@ def transform(docs: DataFrame, seed: int = SEED, rate: int = RATE, spm_share: in
     schema = "doc_id long, form string, output string"
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, mark, body in _stream(batches):
-            if mark is not None:
-                doc.parts += [mark.encode(), body]
-                continue
-            text = b"".join(doc.parts).decode()
-            for _ in range(doc.copies):
-                yield _batch([(doc.about[0], doc.about[2], text)], schema)
+        for _, events in _stream(batches):
+            for doc, mark, body, _ in events:
+                if mark is not None:
+                    doc.parts += [mark.encode(), bytes(body)]
+                    continue
+                text = b"".join(doc.parts).decode()
+                for _ in range(doc.copies):
+                    yield _batch([(doc.about[0], doc.about[2], text)], schema)
 
     return by_place(pieces(docs, seed, rate, spm_share)).mapInArrow(texts, schema)
 
