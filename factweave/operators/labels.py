@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions import text as tx
@@ -13,6 +16,7 @@ from ..functions.vectors import calibrate, calibrate_inverse
 from .ranking import top_per_key
 from .similarity import similarity_join
 
+CATEGORIES = 1024  # centroids that may travel with a task
 HIGH = {"canonical": 0.85, "label": 0.8, "topic": 0.7}
 
 
@@ -125,14 +129,43 @@ def topic_classifier(embed, labels: list[tuple[str, str]], vectors, top_categori
 
 
 def _category_centroids(labels: DataFrame, category: str, vec: str) -> DataFrame:
-    """Mean unit vector of each category: by linearity its dot product with a text vector is the mean
-    similarity over the category's labels, so categories are ranked without visiting the labels."""
-    size = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
-    unit = labels.withColumn("__n", size).select(
-        category, F.posexplode(F.transform(vec, lambda v: v.cast("double") / F.col("__n"))).alias("i", "x"))
-    means = unit.groupBy(category, "i").agg(F.avg("x").alias("x"))
-    return means.groupBy(category).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"))
+    """Mean unit vector of each category: by linearity its dot product with a text vector is the mean similarity over the
+    category's labels, so categories are ranked without visiting the labels."""
+    doubles = F.transform(vec, lambda v: v.cast("double"))
+    unit = labels.select(category, doubles.alias("v")).withColumn("n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, v: a + v * v)))
+    unit = unit.select(category, array_to_vector(F.transform("v", lambda v: v / F.col("n"))).alias("v"))
+    return unit.groupBy(category).agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("centroid"))
+
+
+def best_categories(texts: DataFrame, centroids: DataFrame, text_id: str, text_vec: str, category: str, k: int) -> DataFrame:
+    """(text_id, category, category_score, category_rank, __v): the k categories of each text with the greatest dot product of
+    its unit vector and their centroid, ties to the smaller category.
+
+    Up to CATEGORIES centroids travel with the task; more of them are found by a similarity join, in which one more
+    component makes each centroid a unit vector (and is 0 on the side of the texts), so that the product is a cosine.
+    """
+    few = centroids.where(F.col(category).isNotNull()).orderBy(category).limit(CATEGORIES + 1).collect()
+    columns = texts.select(F.col(text_id), F.col(text_vec).alias("__v"))
+    if len(few) > CATEGORIES:
+        rest = F.sqrt(F.greatest(F.lit(0.0), 1.0 - F.aggregate("centroid", F.lit(0.0), lambda a, v: a + v * v)))
+        wide = texts.select(text_id, F.array_append(F.transform(text_vec, lambda v: v.cast("double")), F.lit(0.0)).alias("w"))
+        hits = similarity_join(wide, centroids.withColumn("centroid", F.array_append("centroid", rest)), text_id, "w", category, "centroid", k, -1.0)
+        return hits.withColumnsRenamed({"similarity": "category_score", "rank": "category_rank"}).join(columns, text_id)
+    m = np.array([r["centroid"] for r in few], dtype=np.float64)
+
+    @F.pandas_udf("array<struct<at:int,category_score:double>>")
+    def rank(vecs: pd.Series) -> pd.Series:
+        if not len(m) or not len(vecs):
+            return pd.Series([[]] * len(vecs))
+        v = np.array(vecs.tolist(), dtype=np.float64)
+        size = np.linalg.norm(v, axis=1, keepdims=True)
+        score = np.round(np.divide(v, size, out=np.zeros_like(v), where=size > 0) @ m.T, 9)
+        order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        return pd.Series([[{"at": int(j), "category_score": float(score[i, j])} for j in order[i]] for i in range(len(v))])
+
+    names = F.array(*[F.lit(r[category]) for r in few]) if few else F.array().cast(T.ArrayType(centroids.schema[category].dataType))
+    ranked = columns.where(F.col("__v").isNotNull()).select(text_id, "__v", F.posexplode(rank("__v")).alias("i", "c"))
+    return ranked.select(text_id, F.get(names, F.col("c.at")).alias(category), "c.category_score", (F.col("i") + 1).alias("category_rank"), "__v")
 
 
 def topics_hierarchical(texts: DataFrame, labels: DataFrame, text_id: str, text_vec: str, category: str, label: str,
@@ -142,16 +175,11 @@ def topics_hierarchical(texts: DataFrame, labels: DataFrame, text_id: str, text_
     Category scores come from centroids; labels are then found by a threshold join inside the chosen
     categories, whose bound on the raw cosine follows from inverting the calibration.
     """
-    centroids = _category_centroids(labels, category, label_vec)
-    # the best categories by an exact top-k join on the dot product
-    hits = similarity_join(texts, centroids, text_id, text_vec, category, "centroid", top_categories, -1.0, unit_refs=False)
-    best = hits.withColumnsRenamed({"similarity": "category_score", "rank": "category_rank"})
-    chosen = best.join(texts.select(text_id, F.col(text_vec).alias("__v")), text_id)
+    chosen = best_categories(texts, _category_centroids(labels, category, label_vec), text_id, text_vec, category, top_categories)
     floor = calibrate_inverse(min_score) - 1e-9 if min_score > 0 else -1.0
-    keyed = chosen.select(category, F.struct(F.col(text_id), F.col("category_rank")).alias("q"), "__v")
+    keyed = chosen.select(category, F.struct(F.col(text_id), F.col("category_rank"), F.col("category_score"), F.col(category)).alias("q"), "__v")
     hits = similarity_join(keyed, labels, "q", "__v", label, label_vec, None, floor, on=(category,))
-    scored = hits.select("q.*", label, "similarity").withColumn("confidence", calibrate(F.col("similarity"))).where(F.col("confidence") >= min_score)
-    return scored.join(best, [text_id, "category_rank"])
+    return hits.select("q.*", label, "similarity").withColumn("confidence", calibrate(F.col("similarity"))).where(F.col("confidence") >= min_score)
 
 
 def topics_flat(texts: DataFrame, labels: DataFrame, text_id: str, text_vec: str, label: str, label_vec: str, k: int = 5,

@@ -27,9 +27,11 @@ def brute(q, r, k, lo, qk=None, rk=None):
     return out
 
 
-@pytest.mark.parametrize("k,lo", [(5, 0.3), (None, 0.9), (3, -1.0)])
-def test_similarity_join_is_exact(spark, monkeypatch, k, lo):
-    monkeypatch.setattr(similarity, "BLOCK", 37)
+@pytest.mark.parametrize("k,lo,leaf", [(5, 0.3, 20), (None, 0.9, 20), (3, -1.0, 40), (4, 0.0, 5000)])
+def test_similarity_join_is_exact(spark, monkeypatch, k, lo, leaf):
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 37)
+    monkeypatch.setattr(similarity, "BLOCK_QUERIES", 20)
+    monkeypatch.setattr(similarity, "LEAF", leaf)
     q, r = vectors(150, seed=1), vectors(400, seed=2)
     qd = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "q long, v array<float>")
     rd = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r)], "r long, w array<float>")
@@ -37,8 +39,47 @@ def test_similarity_join_is_exact(spark, monkeypatch, k, lo):
     assert got == brute(q, r, k, lo)
 
 
+def test_similarity_join_odd_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [2.0, 0.0]), (4, [-1.0, 1.0])]
+    df = spark.createDataFrame(rows, "i long, v array<double>")
+    join = lambda a, b, k, lo: sorted(map(tuple, similarity.similarity_join(a.select(F.col("i").alias("q"), "v"), b.select(F.col("i").alias("r"), F.col("v").alias("w")), "q", "v", "r", "w", k, lo).select("q", "r", "similarity").collect()))
+    assert join(df, df, 1, -1.0) == [(0, 0, 1.0), (1, 0, 0.0), (3, 0, 1.0), (4, 4, 1.0)]
+    assert join(df, df, None, 0.5) == [(0, 0, 1.0), (0, 3, 1.0), (3, 0, 1.0), (3, 3, 1.0), (4, 4, 1.0)]
+    assert join(df, df.limit(0), 2, -1.0) == [] == join(df.limit(0), df, 2, -1.0)
+
+
+@pytest.mark.parametrize("lo,k,share", [(0.3, 20, 0.1), (0.3, None, 0.6), (0.5, None, 0.2), (0.85, None, 0.05), (0.85, 20, 0.05)])
+def test_similarity_join_prunes_clustered_vectors(lo, k, share):
+    """Leaves that are visited, of all pairs of a query and a leaf, on vectors that lie in clusters."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 32))
+    x = similarity._unit(centres[rng.integers(0, 60, 6000)] + 0.25 * rng.normal(size=(6000, 32)))
+    tree = similarity.BallTree(x[:3000], 120)
+    leaf, far, _, top_far = tree.place(x)
+    tree.fill([(i, far[leaf == i].min(), far[leaf == i].max(), top_far[leaf == i].min(), top_far[leaf == i].max()) for i in np.unique(leaf)])
+    q = x[:400]
+    sims = q @ x.T
+    floor, first = np.full(400, lo), 0
+    if k:
+        r, c = tree.visits(q, floor, leaf[:400], 0, 1)
+        first = len(r)
+        for i in range(400):
+            mine = np.sort(sims[i, np.isin(leaf, c[r == i])])
+            floor[i] = max(lo, mine[-k]) if len(mine) >= k else lo
+    r, c = tree.visits(q, floor, leaf[:400], 1 if k else 0, None)
+    seen = (first + len(r)) / (400 * len(tree.leaf))
+    assert seen < share
+    visited = np.zeros((400, len(tree.leaf)), bool)
+    visited[r, c] = True
+    if k:
+        visited[np.arange(400), leaf[:400]] = True
+    wanted = sims >= (floor[:, None] if k else lo)
+    assert visited[np.nonzero(wanted)[0], leaf[np.nonzero(wanted)[1]]].all()
+
+
 def test_similarity_join_within_keys(spark, monkeypatch):
-    monkeypatch.setattr(similarity, "BLOCK", 16)
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(similarity, "LEAF", 25)
     q, r = vectors(80, seed=3), vectors(200, seed=4)
     qk, rk = [i % 3 for i in range(80)], [0 if i % 3 else i % 4 for i in range(200)]  # one hot key
     qd = spark.createDataFrame([(i, qk[i], v.tolist()) for i, v in enumerate(q)], "q long, g int, v array<float>")
