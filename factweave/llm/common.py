@@ -216,7 +216,7 @@ class Encoder:
     directly; the constructor makes sure that this gives what the whole tokenizer gives.
     """
 
-    FULL = 400_000  # pieces in each of two generations of the store
+    FULL = 400_000  # pieces of at most 64 signs in each of two generations of the store; less for the other kinds
     _CUT = re.compile(r"(?<=\S)(?= \S)")
 
     def __init__(self, path: str):
@@ -230,6 +230,7 @@ class Encoder:
         self.starts: dict[str, bytes] = {}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
         self.marks = {"\1": self._raw(","), "\2": self._raw(".")}
         self.line_end = self._raw("\n")
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that a byte-level alphabet writes as themselves
@@ -252,6 +253,8 @@ class Encoder:
         forbids a cut there."""
         store = self.starts if self.space and not space else self.old
         got = store.get(word)
+        if got is None and store is self.old:
+            got = self.ends.get(word)
         if got is None:
             if self.direct and word.isalpha() and max(word) < "\u0250" and (self.space or word.lower().isalpha()):
                 got = self._letters(space + word)
@@ -271,7 +274,9 @@ class Encoder:
             self.starts[word] = got
             return got
         if not word[-1].isalnum() and word not in self.marks:  # kept apart: a mark after it may belong to it
-            self.old[word] = got
+            if len(self.ends) >= self.FULL // 4:
+                self.ends.clear()
+            self.ends[word] = got
             return got
         if len(self.new) >= self.FULL:
             self.old, self.new = self.new, {}

@@ -27,17 +27,25 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         end = np.array([END], "<u4").tobytes()
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
+
+        def pack(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in schema.split(", ")])
+
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = enc.ids(text.as_py()) + end
                 n = len(raw) // 4
                 for i, s in enumerate(range(0, n, capacity)):
                     part = raw[4 * s: 4 * (s + capacity)]
-                    rows.append((doc_id, i, s, len(part) // 4, zlib.crc32(part), part))
-            columns = list(zip(*rows)) if rows else [()] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in schema.split(", ")])
+                    rows.append((doc_id, i, s, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
+                held += len(raw) if with_ids else 64
+                if held >= 1 << 22:
+                    yield pack(rows)
+                    rows, held = [], 0
+            if rows:
+                yield pack(rows)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(cut, schema)
 

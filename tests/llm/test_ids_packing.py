@@ -128,3 +128,11 @@ def test_long_texts_hash_like_short_ones():
     assert h[:9].tolist() == h[len(text.split()): len(text.split()) + 9].tolist() and h[len(text.split()) - 5: len(text.split())].tolist() == h[-5:].tolist()
     assert (e > s).all()
     assert [len(x) for x in common.shingle_sets(column)][3:] == [0, 0]
+
+
+def test_the_encoders_stores_are_bounded():
+    enc = common.Encoder(WORDS)
+    enc.FULL = 1000
+    for i in range(0, 60_000, 100):
+        enc.ids(" ".join(f"w{j} x{j}) y{j}\nz{j}" for j in range(i, i + 100)))
+    assert len(enc.new) <= 1000 and len(enc.old) <= 1000 and len(enc.starts) <= 1000 and len(enc.ends) <= 250
