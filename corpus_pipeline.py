@@ -14,9 +14,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose language can be told: those without a letter, and those whose bits lie too far from every
     language's codeword to be mended, are rejected. The model learns from the documents that are not held out."""
     model = langid.learn(docs.where(~langid.fold()))
-    rows = docs.select("text", F.struct("*").alias("row"))  # as one column, so that no name clashes
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select("text", F.struct(*others).alias("row"))  # as one column, so that no name clashes
     told = langid.identify(rows, model).where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("ambiguous"))
-    return told.select("row.*")
+    return told.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
