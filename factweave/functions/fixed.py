@@ -158,3 +158,8 @@ TRUNCATED_CLOSERS = [
 ]
 SPLIT_SENTENCE = r"(?s)<stmt>.*?<text>(.*?)</text>.*?</stmt>"
 BARE_AMPERSAND = r"&(?!(amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);)"
+
+# --- fixed values: sentence marks and white space --------------------------------------------
+SENTENCE_MARKS = ".!?\n"
+BLANK_CODES = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, 0x2000, 0x2001, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006, 0x2007, 0x2008, 0x2009, 0x200A,
+               0x2028, 0x2029, 0x202F, 0x205F, 0x3000]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.vectors import best_in_context
-from ..operators import candidates, dedup, scoring
+from ..operators import candidates, dedup, evidence, scoring
 from ..sources.checkpoints import checkpointed
 
 
@@ -44,11 +44,11 @@ def statements_from_candidates(answers: DataFrame, docs: DataFrame, opt: Extract
     ments = opt.mentions if opt.mentions is not None else F.array().cast("array<struct<text:string,confidence:double>>")
     score = scoring.triple_score(c("subject"), c("predicate"), c("object"), F.coalesce("source_text", "__text"),
                                  scoring.entity_score(c("subject"), ments), scoring.entity_score(c("object"), ments))
-    span = scoring.evidence_span(c("__text"), c("source_text"), c("subject"), c("object"))
-    # four branches below read these rows: parsing and scoring are done once and kept in the checkpoint folder
-    scored = checkpointed(rows.withColumns({"confidence": F.round(score, 9), "span": span}).drop("__text"))
+    # several branches below read these rows: parsing and scoring are done once and kept in the checkpoint folder
+    scored = checkpointed(rows.withColumns({"confidence": F.round(score, 9)}).drop("__text"))
 
-    cover = scoring.coverage(scored.select("doc_id", "beam", "span.start", "span.end"), docs, "doc_id", ["beam"], "text")
+    spans = evidence.evidence_spans(docs, scored, "doc_id", "text", ["beam", "seq"])
+    cover = evidence.coverage(spans, docs, "doc_id", ["beam"], "text")
     beams = scoring.beam_score(scoring.beam_stats(scored, ["doc_id", "beam"]).join(cover, ["doc_id", "beam"], "left"), opt.scoring)
     if opt.merge_beams:
         out = scoring.merge_beams(scored, beams, ["doc_id"], "beam", "seq", opt.scoring)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as tx
 from ..functions.vectors import best_in_context, best_of, text_cosine
-from ..operators import candidates, dedup, documents, relations, scoring
+from ..operators import candidates, dedup, documents, evidence, relations, scoring
+from ..sources.checkpoints import checkpointed
 from .derived import SENTENCES_SQL, WS, sql_norm, statements, statements_sql
 from .registry import query
 
@@ -90,9 +91,39 @@ def predicate_support(t):
 
 # ---- beams -----------------------------------------------------------------------------------
 
-BEAM_SQL = f"""{ST}, tri AS (SELECT doc_id, beam, lower(subject) AS s, lower(predicate) AS p, lower(object) AS o, count(*) AS c, sum(confidence) AS q FROM st GROUP BY ALL),
+# A document's text is its source texts, each once, and some words that no statement speaks of. Low confidences count as given
+# or not given, so that some statements are scored anew.
+_CONFIDENCE = "CASE WHEN confidence <= 0.28 THEN CASE WHEN confidence <= 0.2 THEN 0.0 END ELSE confidence END"
+BEAM_SQL = f"""{ST.replace("st AS (", "st_ AS (", 1)}, st AS MATERIALIZED (SELECT * REPLACE ({_CONFIDENCE} AS confidence) FROM st_),
+  bd AS (SELECT doc_id, string_agg(DISTINCT source_text, ' ' ORDER BY source_text) || ' and nothing else' AS text FROM st GROUP BY 1),
+  {similarity_sql("SELECT source_text AS a, subject || ' ' || predicate || ' ' || object AS b FROM st WHERE coalesce(confidence, 0) = 0")},
+  qu AS (SELECT st.*, CASE WHEN coalesce(confidence, 0) <> 0 THEN confidence ELSE round(0.5 * s + 0.25 * 0.2 + 0.25 * 0.2, 9) END AS quality
+    FROM st LEFT JOIN sim ON coalesce(confidence, 0) = 0 AND a = source_text AND b = subject || ' ' || predicate || ' ' || object),
+  tri AS (SELECT doc_id, beam, lower(subject) AS s, lower(predicate) AS p, lower(object) AS o, count(*) AS c, sum(quality) AS q FROM qu GROUP BY ALL),
   bs AS (SELECT doc_id, beam, CAST(sum(c) AS BIGINT) AS n, sum(q) AS quality_sum, CASE WHEN sum(c) < 2 THEN 0.0 ELSE sum(c * (c - 1)) / (sum(c) * (sum(c) - 1)) END AS redundancy FROM tri GROUP BY ALL),
-  sc AS (SELECT *, round(quality_sum - 0.3 * redundancy - 0.1 * (n / 10.0), 9) AS score FROM bs)"""
+  bsp AS (SELECT DISTINCT doc_id, beam, strpos(lower(text), lower(source_text)) - 1 AS a, strpos(lower(text), lower(source_text)) - 1 + length(source_text) AS e FROM st JOIN bd USING (doc_id)),
+  bch AS (SELECT doc_id, pos FROM (SELECT doc_id, unnest(c) AS ch, generate_subscripts(c, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, '') AS c FROM bd)) WHERE NOT regexp_matches(ch, '{WS}')),
+  bct AS (SELECT doc_id, count(*) AS total FROM bch GROUP BY 1), bhit AS (SELECT doc_id, beam, count(DISTINCT pos) AS h FROM bsp JOIN bch USING (doc_id) WHERE pos >= a AND pos < e GROUP BY ALL),
+  sc AS (SELECT bs.*, coalesce(h, 0) / total AS coverage, round(quality_sum + 0.5 * (coalesce(h, 0) / total) - 0.3 * redundancy - 0.1 * (n / 10.0), 9) AS score
+    FROM bs JOIN bct USING (doc_id) LEFT JOIN bhit USING (doc_id, beam))"""
+
+
+def _beam_statements(t):
+    """Statements with their beams, read by several branches: kept in the checkpoint folder."""
+    return checkpointed(statements(t).withColumn("confidence", F.expr(_CONFIDENCE)))
+
+
+def _beam_documents(df):
+    text = F.concat(F.array_join(F.array_sort(F.collect_set("source_text")), " "), F.lit(" and nothing else"))
+    return df.groupBy("doc_id").agg(text.alias("text"))
+
+
+def _scored_beams(df):
+    docs = _beam_documents(df)
+    spans = evidence.evidence_spans(docs, df, "doc_id", "text", ["beam", "seq"])
+    cover = evidence.coverage(spans, docs, "doc_id", ["beam"], "text")
+    stats = scoring.beam_stats(scoring.rescored(df, docs, "doc_id", "text"), ["doc_id", "beam"], F.col("quality"))
+    return scoring.beam_score(stats.join(cover, ["doc_id", "beam"], "left"))
 
 
 @query("beam_redundancy", f"WITH {BEAM_SQL} SELECT doc_id, beam, n, round(redundancy, 4) AS redundancy FROM bs")
@@ -100,16 +131,16 @@ def beam_redundancy(t):
     return scoring.beam_stats(statements(t), ["doc_id", "beam"]).select("doc_id", "beam", "n", F.round("redundancy", 4).alias("redundancy"))
 
 
-@query("beam_scores", f"WITH {BEAM_SQL} SELECT doc_id, beam, n, round(quality_sum, 4) AS quality_sum, round(score, 4) AS score FROM sc")
+@query("beam_scores", f"WITH {BEAM_SQL} SELECT doc_id, beam, n, round(quality_sum, 6) AS quality_sum, round(coverage, 6) AS coverage, round(score, 6) AS score FROM sc")
 def beam_scores(t):
-    return scoring.beam_score(scoring.beam_stats(statements(t), ["doc_id", "beam"])).select(
-        "doc_id", "beam", "n", F.round("quality_sum", 4).alias("quality_sum"), F.round("score", 4).alias("score"))
+    """Quality with statements scored anew where no confidence is given, coverage, redundancy and length of each beam."""
+    return _scored_beams(_beam_statements(t)).select(
+        "doc_id", "beam", "n", F.round("quality_sum", 6).alias("quality_sum"), F.round("coverage", 6).alias("coverage"), F.round("score", 6).alias("score"))
 
 
-@query("best_beam", f"WITH {BEAM_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, beam) AS rn FROM sc) SELECT doc_id, beam, n, round(score, 4) AS score FROM r WHERE rn = 1")
+@query("best_beam", f"WITH {BEAM_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, beam) AS rn FROM sc) SELECT doc_id, beam, n, round(score, 6) AS score FROM r WHERE rn = 1")
 def best_beam(t):
-    scored = scoring.beam_score(scoring.beam_stats(statements(t), ["doc_id", "beam"]))
-    return scoring.best_beam(scored, ["doc_id"], "beam").select("doc_id", "beam", "n", F.round("score", 4).alias("score"))
+    return scoring.best_beam(_scored_beams(_beam_statements(t)), ["doc_id"], "beam").select("doc_id", "beam", "n", F.round("score", 6).alias("score"))
 
 
 @query("merge_beams", f"""WITH {BEAM_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, beam) AS br FROM sc),
@@ -118,9 +149,8 @@ def best_beam(t):
     first_value(seq) OVER (PARTITION BY doc_id, lower(subject), lower(predicate), lower(object) ORDER BY br, seq) AS first_seq FROM pool)
   SELECT doc_id, beam, subject, predicate, object, source_text, confidence, seq, first_seq FROM w WHERE rn = 1""")
 def merge_beams(t):
-    df = statements(t)
-    scored = scoring.beam_score(scoring.beam_stats(df, ["doc_id", "beam"]))
-    merged = scoring.merge_beams(df, scored, ["doc_id"], "beam", "seq", scoring.ScoringConfig(min_confidence=0.3))
+    df = _beam_statements(t)
+    merged = scoring.merge_beams(df, _scored_beams(df), ["doc_id"], "beam", "seq", scoring.ScoringConfig(min_confidence=0.3))
     return merged.select("doc_id", "beam", "subject", "predicate", "object", "source_text", "confidence", "seq", F.col("position.seq").alias("first_seq"))
 
 
@@ -242,17 +272,12 @@ SPANS_SQL = f"""{SENTENCES_SQL}, a0 AS (SELECT doc_id, sent_idx, text, sentence,
 
 
 def _spans(t):
-    """Spans are computed inside the document row, so the text is not copied per sentence."""
-    docs = t.documents.select("doc_id", "text", candidates.sentence_array(F.col("text")).alias("s"))
-
-    def one(low, s, i):
-        subj, obj = F.regexp_extract(s, "([a-zA-Z]{4,})", 1), F.regexp_extract(s, "^.*[^a-zA-Z]([a-zA-Z]{4,})", 1)
-        src = F.when(i % 2 == 0, s)
-        return F.struct(i.alias("sent_idx"), F.when((subj != "") & (obj != ""), scoring.evidence_span(F.col("text"), src, subj, obj, low)).alias("span"))
-
-    bound = F.get(F.transform(F.array(F.lower("text")), lambda low: F.transform("s", lambda s, i: one(low, s, i))), F.lit(0))
-    rows = docs.select("doc_id", F.explode(bound).alias("x")).where(F.col("x.span").isNotNull())
-    return rows.select("doc_id", "x.sent_idx", F.col("x.span.start").alias("start"), F.col("x.span.end").alias("end"))
+    """Statements of sentences (every second one gives its sentence as source text) and their evidence in the document."""
+    s = candidates.split_sentences(t.documents.select("doc_id", "text")).drop("text")
+    subj, obj = F.regexp_extract("sentence", "([a-zA-Z]{4,})", 1), F.regexp_extract("sentence", "^.*[^a-zA-Z]([a-zA-Z]{4,})", 1)
+    st = s.select("doc_id", "sent_idx", subj.alias("subject"), obj.alias("object"), F.when(F.col("sent_idx") % 2 == 0, F.col("sentence")).alias("source_text"))
+    st = st.where((F.col("subject") != "") & (F.col("object") != ""))
+    return evidence.evidence_spans(t.documents, st, "doc_id", "text", ["sent_idx"])
 
 
 @query("evidence_spans", f"WITH {SPANS_SQL} SELECT doc_id, CAST(sent_idx AS INTEGER) AS sent_idx, span_start, span_end FROM spans")
@@ -267,7 +292,7 @@ def evidence_spans(t):
   SELECT b.doc_id, CAST(b.beam AS INTEGER) AS beam, round(coalesce(h, 0) / tot.n, 4) AS coverage FROM (SELECT DISTINCT doc_id, sent_idx % 4 AS beam FROM spans) b LEFT JOIN hit USING (doc_id, beam) JOIN tot USING (doc_id)""")
 def coverage(t):
     spans = _spans(t).withColumn("beam", (F.col("sent_idx") % 4).cast("int"))
-    return scoring.coverage(spans, t.documents, "doc_id", ["beam"], "text").select("doc_id", "beam", F.round("coverage", 4).alias("coverage"))
+    return evidence.coverage(spans, t.documents, "doc_id", ["beam"], "text").select("doc_id", "beam", F.round("coverage", 4).alias("coverage"))
 
 
 # ---- predicates ------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factweave.functions.vectors import gram_counts, row_cosine
-from factweave.operators import candidates, dedup, scoring
+from factweave.operators import candidates, dedup, evidence, scoring
 
 STMT = "doc int, seq int, subject string, subject_type string, predicate string, object string, object_type string, source_text string, confidence double"
 
@@ -108,10 +108,59 @@ def test_triple_without_source_is_neutral(spark):
     assert df.select(scoring.triple_score(c("s"), c("p"), c("o"), c("src"), F.lit(1.0), F.lit(1.0)).alias("x")).first()["x"] == 0.5
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_spans_and_coverage_equal_brute_force(spark, monkeypatch, seed):
+    monkeypatch.setattr(evidence, "PER_ROW", 7)
+    rnd = random.Random(seed)
+    word = lambda: rnd.choice(["Acme", "ß", "é x", "buys", "it", "ACME corp", "語", "of", "\u2003", "\x1c", "a\nb", "end."])
+    docs = [(d, "".join(word() + rnd.choice([" ", "", ". ", "! "]) for _ in range(rnd.choice([0, 3, 40, 3000])))) for d in range(12)] + [(90, None), (91, " \n ")]
+    rows = [(rnd.choice(docs)[0], rnd.randint(0, 2), i, rnd.choice([None, "", word() + " " + word(), word()]), rnd.choice([word(), None, "nowhere"]), word()) for i in range(300)] + [(99, 0, 0, "x", "y", "z")]
+    dd = spark.createDataFrame(docs, "doc int, text string")
+    sd = spark.createDataFrame(rows, "doc int, beam int, seq int, source_text string, subject string, object string")
+    text = dict(docs)
+
+    def span(t, src, s, o):
+        if t is None or not src and s is None:
+            return None
+        low = t.lower()
+        if src and src.lower() in low:
+            return low.find(src.lower()), low.find(src.lower()) + len(src)
+        if s is None or s.lower() not in low or o.lower() not in low:
+            return None
+        a, b = low.find(s.lower()), low.find(o.lower())
+        lo, hi = min(a, b), max(a + len(s), b + len(o))
+        while lo > 0 and t[lo - 1] not in ".!?\n":
+            lo -= 1
+        while hi < len(t) and t[hi] not in ".!?\n":
+            hi += 1
+        return lo, hi + (hi < len(t))
+
+    want = {(d, b, i): span(text[d], src, s, o) for d, b, i, src, s, o in rows if d in text}
+    spans = evidence.evidence_spans(dd, sd, "doc", "text", ["beam", "seq"])
+    got = {(r["doc"], r["beam"], r["seq"]): None if r["start"] is None else (r["start"], r["end"]) for r in spans.collect()}
+    assert got == want
+    cover = {(r["doc"], r["beam"]): r["coverage"] for r in evidence.coverage(spans, dd, "doc", ["beam"], "text").collect()}
+    for (d, b), share in cover.items():
+        t, at = text[d], set()
+        for (x, y, _), s in want.items():
+            if (x, y) == (d, b) and s:
+                at |= set(range(*s))
+        content = sum(not c.isspace() for c in t)
+        assert share == pytest.approx(sum(not t[i].isspace() for i in at if i < len(t)) / content if content else 0.0), (d, b)
+    assert set(cover) == {(d, b) for d, b, _ in want if text[d] is not None}
+
+
+def test_rescoring_only_where_no_confidence_is_given(spark):
+    rows = [(1, 1, "A", "ORG", "buys", "B", "ORG", "A buys B", 0.0), (1, 2, "A", "ORG", "buys", "B", "ORG", "A buys B", 0.7), (1, 3, "A", "ORG", "buys", "B", "ORG", None, None), (2, 4, "A", "ORG", "buys", "B", "ORG", "", 0.0)]
+    docs = spark.createDataFrame([(1, "A buys B")], "doc int, text string")
+    got = {r["seq"]: r["quality"] for r in scoring.rescored(spark.createDataFrame(rows, STMT), docs, "doc", "text").collect()}
+    assert got == {1: 0.6, 2: 0.7, 3: 0.6, 4: 0.5}
+
+
 def test_coverage_of_overlapping_spans(spark):
     docs = spark.createDataFrame([(1, "ab cd  ef")], "doc int, text string")
     spans = spark.createDataFrame([(1, 0, 0, 5), (1, 0, 3, 4), (1, 0, 1, 40), (1, 1, 0, 2), (1, 2, None, None)], "doc int, beam int, start int, end int")
-    got = {r["beam"]: round(r["coverage"], 4) for r in scoring.coverage(spans, docs, "doc", ["beam"], "text").collect()}
+    got = {r["beam"]: round(r["coverage"], 4) for r in evidence.coverage(spans, docs, "doc", ["beam"], "text").collect()}
     assert got == {0: 1.0, 1: round(2 / 6, 4), 2: 0.0}
 
 
