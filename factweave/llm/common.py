@@ -55,6 +55,14 @@ def running_total(df: DataFrame, order: Sequence[str], value: str, out: str) ->
     return ranged.join(base, "__part").withColumn(out, F.col("__base") + F.sum(value).over(inside)).drop("__part", "__base")
 
 
+def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; what Arrow keeps of one is given back before the next, as a worker serves many tasks."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 # ------------------------------------------------------------------ connected components
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for edges (a, b) of longs: comp is the smallest node reachable. Nodes without an edge are not returned.
@@ -219,7 +227,8 @@ class Encoder:
     FULL = 400_000  # pieces of at most 64 signs in each of two generations of the store; less for the other kinds
     _CUT = re.compile(r"(?<=\S)(?= \S)")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, full: int | None = None):
+        self.FULL = full or self.FULL
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -333,11 +342,11 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int | None], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder a worker and file; its store of pieces outlives a task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, full: int | None = None) -> Encoder:
+    """One encoder a worker, file and size of its store; the store of pieces outlives a task."""
+    if (path, full) not in _encoders:
+        _encoders[path, full] = Encoder(path, full)
+    return _encoders[path, full]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import one_by_one, text_or_empty
 from .tables import query, table
 
 DIMS = 1 << 12
@@ -131,7 +131,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     picked = rows.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h")), "left_semi")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in one_by_one(batches):
             x = [features(t.as_py()).astype(np.float16).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["lang", "x"])
 
@@ -159,7 +159,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     at = keep.index("text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in one_by_one(batches):
             for lo in range(0, max(batch.num_rows, 1), 512):
                 part = batch.slice(lo, 512)
                 lang, score, odd = [UNKNOWN] * part.num_rows, [0.0] * part.num_rows, [False] * part.num_rows

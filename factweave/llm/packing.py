@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import encoder, text_or_empty, tokenizer_path, written
+from .common import encoder, one_by_one, text_or_empty, tokenizer_path, written
 from .tables import query, table
 
 CAPACITY = 2048
@@ -18,21 +18,21 @@ END = 0
 SLICES = 1024
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False, store: int | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of docs(doc_id, text): the ids of each whole text and an id 0 behind
     them, cut into pieces of `capacity`; the last piece may be shorter. A null text is an empty one; ids may be null or
-    repeat; an empty table gives no piece."""
+    repeat; an empty table gives no piece. `store` is how many words the encoder keeps (the ids do not depend on it)."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, store)
         end = np.array([END], "<u4").tobytes()
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
 
         def pack(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in schema.split(", ")])
 
-        for batch in batches:
+        for batch in one_by_one(batches):
             rows, held = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = enc.ids(text.as_py()) + end
@@ -133,7 +133,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     at_length, at_rank = pieces.columns.index("length"), len(pieces.columns)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in one_by_one(batches):
             n, rank = batch.column(at_length).to_numpy(), batch.column(at_rank).to_numpy()
             i = np.searchsorted(by, n * (1 << 44) + rank, side="right") - 1
             nth = rank - first[i]

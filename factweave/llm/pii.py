@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import utf8, word_hashes
+from .common import one_by_one, utf8, word_hashes
 from .tables import query, table
 
 BASE = ("email", "ip", "card", "phone")
@@ -468,7 +468,7 @@ def find(docs: DataFrame) -> DataFrame:
     at, field = keep.index("text"), train()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in one_by_one(batches):
             got = all_spans(batch.column(at), field)
             counts = [pa.array([sum(k == b for k, _, _ in base) for base, _ in got], pa.int64()) for b in BASE]
             digest = pa.array([hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in got], pa.string())
@@ -494,7 +494,7 @@ def redact(docs: DataFrame) -> DataFrame:
         return "".join([*out, text[upto:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in one_by_one(batches):
             column = batch.column(at)
             got = [clean(t, b + a) for t, (b, a) in zip(column.to_pylist(), all_spans(column, field))]
             yield batch.set_column(at, batch.schema.field(at), pa.array(got, column.type))
