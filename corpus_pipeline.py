@@ -44,7 +44,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in sequences of at most 2048 ids."""
-    pieces = packing.pack(packing.cut_pieces(docs, tokenizer_path("word_bpe_49k.json")))
+    # a smaller store of words than where packing is all that a worker does
+    pieces = packing.pack(packing.cut_pieces(docs, tokenizer_path("word_bpe_49k.json"), store=100_000))
     return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
