@@ -96,6 +96,16 @@ def labeled_statements(statements: DataFrame, canonicals: DataFrame, key: str =
     return out
 
 
+def with_canonicals(statements: DataFrame, found: DataFrame, stmt_id: str) -> DataFrame:
+    """Statements with both ends' canonical entity from found(stmt_id, side, canonical_id, fqn, match_confidence); an end
+    that was not found falls back to its text."""
+    side = lambda name: F.max(F.when(F.col("side") == name, F.struct("canonical_id", "fqn", "match_confidence"))).alias(name)
+    both = found.groupBy(stmt_id).agg(side("subject"), side("object")).select(
+        stmt_id, *[F.col(f"{s}.{c}").alias(f"{s}_{a}") for s in ("subject", "object") for c, a in (("canonical_id", "canonical_id"), ("fqn", "fqn"), ("match_confidence", "match"))])
+    out = statements.join(both, stmt_id, "left")
+    return out.withColumns({f"{s}_fqn": F.coalesce(f"{s}_fqn", s) for s in ("subject", "object")})
+
+
 # ---- topics ----------------------------------------------------------------------------------
 
 def topic_classifier(embed, labels: list[tuple[str, str]], vectors, top_categories: int = 3, min_score: float = 0.8):

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as tx
 from ..functions.vectors import embed, gram_counts
-from ..operators import candidates, chunking, documents, labels, linking, relations
+from ..operators import candidates, chunking, documents, labels, linking, relations, routing
+from ..sources.checkpoints import checkpointed
 
 LEXICON = [("is", "instance_of", "attribute", 0.8), ("was", "instance_of", "attribute", 0.78), ("with", "partner", "people", 0.9),
            ("from", "located_in", "place", 0.85), ("by", "owned_by", "ownership", 0.76)]
@@ -39,6 +40,8 @@ class FlowConfig:
     embedder: Callable[[Column], Column] = embed
     org_accept: float = linking.ACCEPT
     topic_min: float = 0.05
+    typer: Callable[[Column, Column], Column] = lambda text, sentence: F.lit("UNKNOWN")  # entity type of a mention in its sentence
+    linkers: tuple[routing.Linker, ...] = ()
 
 
 def relate(sentences: DataFrame, cfg: FlowConfig) -> DataFrame:
@@ -49,31 +52,28 @@ def relate(sentences: DataFrame, cfg: FlowConfig) -> DataFrame:
     return kept.select(
         F.sha2(F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys]), 256).alias("stmt_id"),
         *[c for c in ("doc_id", "chunk_index", "page_number", "sent_idx") if c in kept.columns],
-        F.col("head").alias("subject"), F.lit("UNKNOWN").alias("subject_type"), "predicate", "predicate_category",
-        F.col("tail").alias("object"), F.lit("UNKNOWN").alias("object_type"), F.col("sentence").alias("source_text"), "confidence",
+        F.col("head").alias("subject"), cfg.typer(F.col("head"), F.col("sentence")).alias("subject_type"), "predicate", "predicate_category",
+        F.col("tail").alias("object"), cfg.typer(F.col("tail"), F.col("sentence")).alias("object_type"), F.col("sentence").alias("source_text"), "confidence",
         F.lit("lexicon").alias("extraction_method"))
 
 
-def link(statements: DataFrame, orgs: DataFrame, cfg: FlowConfig) -> DataFrame:
-    """Stage 3: canonical entities of the distinct mentions, one row per look-up key.
+def link(statements: DataFrame, orgs: DataFrame, cfg: FlowConfig, people: DataFrame | None = None) -> DataFrame:
+    """Stage 3: every mention's canonical entity, as (stmt_id, side, canonical_id, fqn, match_confidence).
 
-    Only distinct texts are embedded and searched; the result is joined back by key.
+    Each distinct look-up goes to the linkers of its type by priority: persons to people(person_id, name, role, org),
+    organisations and untyped mentions to orgs(s_suppkey, s_name), then cfg.linkers. Results are joined back to the mentions.
     """
-    once = linking.distinct_lookups(linking.mentions(statements, "stmt_id")).groupBy("lookup_key").agg(F.min("mention").alias("mention"))
-    # an embedded mention is used by several branches of the search; the vector costs less than its text
-    queries = once.select("lookup_key", cfg.embedder(F.col("lookup_key")).alias("embedding"))
-    records = orgs.select(F.col("s_suppkey").alias("record_id"), cfg.embedder(tx.lower_strip(F.col("s_name"))).alias("embedding"))
-    hits = linking.accept_top(linking.knn_candidates(queries, records, "lookup_key", "record_id", min_sim=cfg.org_accept), threshold=cfg.org_accept)
-    named = hits.join(orgs.select(F.col("s_suppkey").alias("record_id"), "s_name"), "record_id")
-    return named.select(
-        "lookup_key", F.concat(F.lit("LEI:"), F.col("record_id").cast("string")).alias("canonical_id"),
-        linking.org_fqn(F.col("s_name"), F.lit("gleif"), F.lit(None).cast("string")).alias("fqn"),
-        linking.clamp01(F.col("similarity")).alias("match_confidence"))
+    mentions, lookups = routing.typed_lookups(statements, "stmt_id")
+    linkers = [routing.organisation_linker(orgs, "s_suppkey", "s_name", cfg.embedder, cfg.org_accept), *cfg.linkers]
+    if people is not None:
+        linkers.append(routing.person_linker(people, "person_id", "name", "role", "org", cfg.embedder))
+    found = routing.cascade(checkpointed(lookups), linkers)
+    return mentions.join(found, "lookup_id").select("stmt_id", "side", "canonical_id", "fqn", "match_confidence")
 
 
 def label(statements: DataFrame, canonicals: DataFrame) -> DataFrame:
     """Stage 4: canonical names, sentiment, relation type and overall confidence."""
-    out = labels.sentiment_label(labels.labeled_statements(statements, canonicals))
+    out = labels.sentiment_label(labels.with_canonicals(statements, canonicals, "stmt_id"))
     return out.withColumns({
         "relation_type": F.col("predicate_category"),
         "overall_confidence": labels.confidence_label(F.col("confidence"), F.col("confidence"), F.col("confidence"), F.col("subject_match"), F.col("object_match")),
@@ -88,28 +88,28 @@ def classify(statements: DataFrame, cfg: FlowConfig) -> DataFrame:
     return statements.join(once, "source_text", "left")
 
 
-def run_stages(sentences: DataFrame, orgs: DataFrame, cfg: FlowConfig) -> DataFrame:
+def run_stages(sentences: DataFrame, orgs: DataFrame, cfg: FlowConfig, people: DataFrame | None = None) -> DataFrame:
+    """Labels need canonical entities: they are linked also if only stage 4 is asked for."""
     if 2 not in cfg.stages:
         return sentences
-    st = relate(sentences, cfg)
+    # linking, labels and topics all read the statements; they are related once
+    st = checkpointed(relate(sentences, cfg)) if cfg.stages & {3, 4} else relate(sentences, cfg)
     if 4 in cfg.stages:
-        empty = "lookup_key string, canonical_id string, fqn string, match_confidence double"
-        found = link(st, orgs, cfg) if 3 in cfg.stages else st.sparkSession.createDataFrame([], empty)
-        st = label(st, found)
+        st = label(st, link(st, orgs, cfg, people))
     return classify(st, cfg) if 5 in cfg.stages else st
 
 
-def text_statements(docs: DataFrame, orgs: DataFrame, cfg: FlowConfig = FlowConfig()) -> DataFrame:
+def text_statements(docs: DataFrame, orgs: DataFrame, cfg: FlowConfig = FlowConfig(), people: DataFrame | None = None) -> DataFrame:
     s = candidates.split_sentences(docs, "text", cfg.splitter).drop("text")
-    out = run_stages(s, orgs, cfg)
+    out = run_stages(s, orgs, cfg, people)
     return _flat_topics(out)
 
 
-def document_statements(pages: DataFrame, orgs: DataFrame, cfg: FlowConfig = FlowConfig()) -> DataFrame:
+def document_statements(pages: DataFrame, orgs: DataFrame, cfg: FlowConfig = FlowConfig(), people: DataFrame | None = None) -> DataFrame:
     chunks = chunking.chunk_pages(pages, "doc_id", cfg.chunking).withColumn("page_number", chunking.primary_page(F.col("page_numbers")))
     s = candidates.split_sentences(chunks.select("doc_id", "chunk_index", "page_number", "text"), "text", cfg.splitter).drop("text")
     s = documents.cross_chunk_dedup(s, "doc_id", "sentence", [F.asc("chunk_index"), F.asc("sent_idx")])
-    out = run_stages(s, orgs, cfg)
+    out = run_stages(s, orgs, cfg, people)
     cited = out.withColumn("citation", tx.citation(
         F.concat(F.lit("Document "), F.col("doc_id").cast("string")), F.array().cast("array<string>"), F.lit(None).cast("int"), F.col("page_number")))
     return _flat_topics(cited)

@@ -11,9 +11,9 @@ from ..operators import export, labels
 from ..operators.relations import classify_distinct, predicate_category
 from .derived import sql_low, statements, statements_sql
 from .q_linking import CANON_SQL, canonicals
-from .q_statements import similarity_sql
 from .q_text import sentiment_sql
 from .registry import query
+from .sql import similarity_sql
 
 ST = statements_sql()
 _CATS = ", ".join(f"('{a}', '{b}')" for a, b, _ in fixed.PREDICATE_TABLE)

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
-from ..operators import linking, persons
+from ..operators import linking, persons, routing
 from .derived import WS, sql_low, sql_strip, statements, statements_sql
 from .registry import query
+from .sql import similarity_sql
 
 ST = statements_sql()
 SIM = "round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 9)"
@@ -303,3 +304,63 @@ def filer_matches(t):
     names = t.supplier.select(F.expr(_NAME).alias("name"))
     filers = t.supplier.select(F.expr(_FILER).alias("filer"), F.col("s_suppkey").alias("ord"))
     return linking.filer_match(names, filers, "name", "filer", "ord").select("name", "tier", "filer")
+
+
+# ---- typed linking ---------------------------------------------------------------------------
+
+# One statement of each customer: a person (or an untyped name) and a supplier, a nation or a thing, in a sentence that may
+# give the person's role and organisation.
+_SUBJECT = "CASE c_custkey % 4 WHEN 0 THEN 'Mr. ' || c_name ELSE c_name END"
+_TYPED = f"""SELECT c_custkey AS stmt_id, {_SUBJECT} AS subject, CASE WHEN c_custkey % 7 = 0 THEN 'UNKNOWN' ELSE 'PERSON' END AS subject_type,
+  CASE c_custkey % 3 WHEN 0 THEN s_name WHEN 1 THEN ' ' || lower(n_name) ELSE 'Widget ' || c_custkey END AS object,
+  CASE c_custkey % 3 WHEN 0 THEN 'ORG' WHEN 1 THEN 'GPE' ELSE 'PRODUCT' END AS object_type,
+  CASE c_custkey % 5 WHEN 0 THEN {_SUBJECT} || ', CEO of Acme Widgets Inc, spoke.' WHEN 1 THEN {_SUBJECT} || ' works at Blue River Company' WHEN 2 THEN 'nothing here 123 ' || {_SUBJECT} || '.'
+    WHEN 3 THEN 'the chief risk officer met ' || {_SUBJECT} ELSE NULL END AS source_text
+  FROM {{customer}} JOIN {{supplier}} ON s_suppkey = c_custkey % 10 + 1 JOIN {{nation}} ON n_nationkey = c_nationkey"""
+_PEOPLE = """SELECT c_custkey AS person_id, c_name AS name, CASE c_custkey % 3 WHEN 0 THEN 'Chief Executive' WHEN 1 THEN 'President' END AS role,
+  CASE WHEN c_custkey % 2 = 0 THEN 'Acme Widgets' END AS org FROM {customer} WHERE c_custkey % 11 > 0"""
+
+
+def _low_query(name: str, role: str, org: str) -> str:
+    return sql_low(f"concat_ws(' | ', {name}, nullif({role}, ''), nullif({org}, ''))")
+
+
+TYPED_SQL = f"""st AS ({_TYPED.format(customer="customer", supplier="supplier", nation="nation")}), pp AS ({_PEOPLE.format(customer="customer")}),
+  mn AS (SELECT stmt_id, 'subject' AS side, subject AS mention, subject_type AS mention_type FROM st UNION ALL SELECT stmt_id, 'object', object, object_type FROM st),
+  mx AS (SELECT *, {sql_low('mention')} AS lookup_key, CASE WHEN mention_type = 'PERSON' THEN CASE stmt_id % 5 WHEN 0 THEN 'CEO' WHEN 3 THEN 'chief risk officer' END END AS role,
+    CASE WHEN mention_type = 'PERSON' THEN CASE stmt_id % 5 WHEN 0 THEN 'Acme Widgets Inc' WHEN 1 THEN 'Blue River Company' END END AS org FROM mn),
+  pq AS (SELECT DISTINCT mention AS name, role, org, {_low_query('mention', 'role', 'org')} AS qt FROM mx WHERE mention_type = 'PERSON'),
+  pr AS (SELECT person_id, name AS known_name, role AS known_role, org AS known_org, {_low_query('name', 'role', 'org')} AS rt FROM pp),
+  oq AS (SELECT DISTINCT lookup_key FROM mx WHERE mention_type IN ('ORG', 'UNKNOWN')), orr AS (SELECT s_suppkey, s_name, {sql_low('s_name')} AS rt FROM supplier),
+  {{sims}},
+  pk AS (SELECT pq.*, pr.*, round(s, 9) AS similarity FROM pq, pr JOIN psim ON a = qt AND b = rt QUALIFY row_number() OVER (PARTITION BY qt, name ORDER BY round(s, 9) DESC, person_id) <= 30),
+  pn AS (SELECT *, {sql_person('name')} AS n1, {sql_person('known_name')} AS n2, {sql_org('org')} AS o1, {sql_org('known_org')} AS o2 FROM pk),
+  ph AS (SELECT *, coalesce(coalesce(org, '') <> '' AND (o1 = o2 OR contains(o1, o2) OR contains(o2, o1)), false) AS org_hit FROM pn),
+  pb AS (SELECT *, least(1.0, round(similarity + CASE WHEN n1 = n2 THEN 0.25 ELSE 0 END + CASE WHEN coalesce(role, '') <> '' AND coalesce(known_role, '') <> '' AND {sql_role_match('role', 'known_role')} THEN 0.1 ELSE 0 END
+    + CASE WHEN coalesce(known_org, '') <> '' AND org_hit THEN 0.15 ELSE 0 END, 9)) AS boosted FROM ph),
+  p1 AS (SELECT * FROM pb WHERE boosted >= 0.5 QUALIFY row_number() OVER (PARTITION BY qt, name ORDER BY boosted DESC, org_hit DESC, person_id) = 1),
+  pf AS (SELECT name, role, org, known_name, person_id, boosted, CASE WHEN coalesce(role, '') = '' AND coalesce(known_role, '') <> '' THEN known_role ELSE role END AS fr,
+    CASE WHEN coalesce(role, '') = '' AND coalesce(known_role, '') <> '' THEN coalesce(nullif(org, ''), nullif(known_org, '')) ELSE org END AS fo FROM p1 WHERE boosted >= 0.85),
+  o1 AS (SELECT lookup_key, s_suppkey, s_name, round(s, 9) AS s FROM oq, orr JOIN osim ON a = lookup_key AND b = rt WHERE round(s, 9) >= 0.85
+    QUALIFY row_number() OVER (PARTITION BY lookup_key ORDER BY round(s, 9) DESC, s_suppkey) = 1),
+  g1 AS (SELECT {sql_low('n_name')} AS lookup_key, n_nationkey, n_name FROM nation)"""
+
+
+@query("typed_links", "WITH " + TYPED_SQL.replace("{sims}", similarity_sql("SELECT qt AS a, rt AS b FROM pq, pr", "psim") + ",\n  " + similarity_sql("SELECT lookup_key AS a, rt AS b FROM oq, orr", "osim")) + """
+  SELECT stmt_id, side, mention_type, coalesce('PERSON:' || person_id, 'LEI:' || s_suppkey, 'GEO:' || n_nationkey) AS canonical_id, coalesce(known_name, s_name, n_name, mention) AS canonical_name,
+    CASE WHEN person_id IS NOT NULL THEN concat_ws(' ', known_name, '(' || nullif(fr, '') || ')', 'at ' || nullif(fo, '')) WHEN s_suppkey IS NOT NULL THEN s_name || ' (LEI)' ELSE coalesce(n_name, mention) END AS fqn,
+    round(coalesce(boosted, s, CASE WHEN n_nationkey IS NOT NULL THEN 1.0 END), 4) AS match_confidence,
+    CASE WHEN person_id IS NOT NULL THEN 'person' WHEN s_suppkey IS NOT NULL THEN 'organisation' WHEN n_nationkey IS NOT NULL THEN 'location' END AS linker
+  FROM mx LEFT JOIN pf ON mention_type = 'PERSON' AND pf.name = mention AND pf.role IS NOT DISTINCT FROM mx.role AND pf.org IS NOT DISTINCT FROM mx.org
+  LEFT JOIN o1 ON mention_type IN ('ORG', 'UNKNOWN') AND o1.lookup_key = mx.lookup_key LEFT JOIN g1 ON mention_type = 'GPE' AND g1.lookup_key = mx.lookup_key""")
+def typed_links(t):
+    """Mentions linked by type: persons among people, organisations and untyped names among suppliers, places among nations."""
+    bind = lambda sql: sql.replace("{customer}", "{c}").replace("{supplier}", "{s}").replace("{nation}", "{n}")
+    st = t.spark.sql(bind(_TYPED.replace("{{", "{").replace("}}", "}")), c=t.customer, s=t.supplier, n=t.nation)
+    people = t.spark.sql(bind(_PEOPLE), c=t.customer)
+    mention_rows, lookups = routing.typed_lookups(st, "stmt_id")
+    found = routing.cascade(lookups, [
+        routing.organisation_linker(t.supplier, "s_suppkey", "s_name"), routing.person_linker(people, "person_id", "name", "role", "org"),
+        routing.name_linker(t.nation, "n_nationkey", "n_name", "GEO", frozenset({"GPE", "LOC"}), "location")])
+    out = routing.linked_mentions(mention_rows, found)
+    return out.select("stmt_id", "side", "mention_type", "canonical_id", "canonical_name", "fqn", F.round("match_confidence", 4).alias("match_confidence"), "linker")

@@ -11,6 +11,7 @@ from ..operators import candidates, dedup, documents, evidence, relations, scori
 from ..sources.checkpoints import checkpointed
 from .derived import SENTENCES_SQL, WS, sql_norm, statements, statements_sql
 from .registry import query
+from .sql import gram_sql, similarity_sql
 
 ST = statements_sql()
 ST_SUPP = statements_sql("l_suppkey")
@@ -18,24 +19,6 @@ TRIPLE = "subject, subject_type, predicate, object, object_type, source_text, co
 COLS = [c.strip() for c in TRIPLE.split(",")]
 
 
-def similarity_sql(pairs: str, name: str = "sim") -> str:
-    """CTEs giving `name`(a, b, s): trigram cosine of the distinct text pairs selected by `pairs`."""
-    p = name
-    gram = "(961 * c[i] + 31 * c[i + 1] + c[i + 2]) % 256"
-    return f"""{p}_p AS MATERIALIZED (SELECT DISTINCT a, b FROM ({pairs})), {p}_t AS (SELECT a AS t FROM {p}_p UNION SELECT b FROM {p}_p),
-  {p}_c AS (SELECT t, list_transform(string_split(' ' || t || ' ', ''), lambda ch: unicode(ch)) AS c FROM {p}_t),
-  {p}_g AS (SELECT t, list_transform(range(1, len(c) - 1), lambda i: {gram}) AS g FROM {p}_c),
-  {p}_v AS MATERIALIZED (SELECT t, list_transform(range(0, 256), lambda k: CAST(len(list_filter(g, lambda x: x = k)) AS DOUBLE)) AS v FROM {p}_g),
-  {name} AS (SELECT a, b, coalesce(list_cosine_similarity(x.v, y.v), 0.0) AS s FROM {p}_p JOIN {p}_v x ON x.t = a JOIN {p}_v y ON y.t = b)"""
-
-
-def gram_sql(name: str, source: str) -> str:
-    """CTEs `name`_g(id, bucket, n) and `name`_n(id, len): trigram vectors of source(id, t)."""
-    return f"""{name}_c AS (SELECT id, list_transform(string_split(' ' || t || ' ', ''), lambda ch: unicode(ch)) AS c FROM {source}),
-  {name}_g AS (SELECT id, bucket, count(*) AS n FROM (SELECT id, unnest(list_transform(range(1, len(c) - 1), lambda i: (961 * c[i] + 31 * c[i + 1] + c[i + 2]) % 256)) AS bucket FROM {name}_c) GROUP BY 1, 2),
-  {name}_n AS (SELECT id, sqrt(sum(n * n)) AS len FROM {name}_g GROUP BY 1)"""
-
-
 # ---- statements ------------------------------------------------------------------------------
 
 @query("statement_triples", f"WITH {ST} SELECT doc_id, seq, {TRIPLE} FROM st")

@@ -6,8 +6,10 @@ import os
 import duckdb
 import pytest
 
-
 import __spark_entry__ as entry
+from pyspark.sql import functions as F
+
+from factweave.operators import routing
 from factweave.plans.flow import FlowConfig, text_statements
 
 FOLDER = "/root/testdata/sf0.001"
@@ -75,8 +77,35 @@ def test_stages_can_be_switched_off(spark):
     only = text_statements(docs, orgs, FlowConfig(stages=frozenset({1, 2})))
     assert only.count() == 1 and "sentiment" not in only.columns
     assert text_statements(docs, orgs, FlowConfig(stages=frozenset({1}))).count() == 2
-    none = text_statements(docs, orgs, FlowConfig(stages=frozenset({1, 2, 4}))).first()
-    assert none["subject_fqn"] == "box" and none["subject_canonical_id"] is None
+    skipped = text_statements(docs, orgs, FlowConfig(stages=frozenset({1, 2, 4}))).first()  # labels need entities: stage 3 runs all the same
+    assert skipped["subject_fqn"] == "box (LEI)" and skipped["subject_canonical_id"] == "LEI:1"
+
+
+def test_flow_links_by_type(spark):
+    docs = spark.createDataFrame([(1, "Lee with Acme. Acme from Berlin."), (2, "Ray with Zeta!"), (3, "Lee with Berlin.")], "doc_id int, text string")
+    orgs = spark.createDataFrame([(1, "Acme"), (2, "Zeta"), (3, "Lee")], "s_suppkey long, s_name string")
+    people = spark.createDataFrame([(7, "Lee", "CEO", "Acme"), (8, "Ray", None, None)], "person_id long, name string, role string, org string")
+    places = spark.createDataFrame([(3, "BERLIN "), (4, "berlin")], "id long, n string")
+    kind = lambda text, sentence: F.when(text.isin("Lee", "Ray"), "PERSON").when(text == "Berlin", "GPE").otherwise("ORG")
+    cfg = FlowConfig(typer=kind, linkers=(routing.name_linker(places, "id", "n", "GEO", frozenset({"GPE"}), "location"),))
+    rows = text_statements(docs, orgs, cfg, people).orderBy("doc_id", "subject").collect()
+    got = [(r["doc_id"], r["subject"], r["subject_canonical_id"], r["object"], r["object_canonical_id"]) for r in rows]
+    assert got == [(1, "Acme", "LEI:1", "Berlin", "GEO:3"), (1, "Lee", None, "Acme", "LEI:1"), (2, "Ray", "PERSON:8", "Zeta", "LEI:2"), (3, "Lee", None, "Berlin", "GEO:3")]
+
+
+def test_cascade_asks_each_linker_only_for_what_is_open(spark):
+    look = spark.createDataFrame([("a", "x", "ORG"), ("b", "y", "ORG"), ("c", "z", "GPE"), ("d", "w", None)], "lookup_id string, lookup_key string, mention_type string")
+    asked = {}
+
+    def linker(name, priority, types, takes):
+        def find(df):
+            asked[name] = sorted(r["lookup_id"] for r in df.collect())
+            return df.where(F.col("lookup_id").isin(takes)).select("lookup_id", F.lit(name).alias("canonical_id"), F.lit(name).alias("canonical_name"), F.lit(name).alias("fqn"), F.lit(1.0).alias("match_confidence"))
+        return routing.Linker(name, priority, types, find)
+
+    found = routing.cascade(look, [linker("late", 9, None, ["a", "b", "d"]), linker("orgs", 1, frozenset({"ORG"}), ["a"]), linker("geo", 5, frozenset({"GPE"}), [])])
+    assert sorted((r["lookup_id"], r["linker"]) for r in found.collect()) == [("a", "orgs"), ("b", "late"), ("d", "late")]
+    assert asked == {"orgs": ["a", "b"], "geo": ["c"], "late": ["b", "c", "d"]}
 
 
 def test_plans_push_columns_down(spark):
