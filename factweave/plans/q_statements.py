@@ -348,9 +348,43 @@ def merged_types(t):
     return out.select("doc_id", "seq", "object", dedup.merge_types(F.col("object_type"), F.coalesce("other", F.lit("UNKNOWN"))).alias("object_type"))
 
 
-@query("semantic_dedup")
+def _dedup_sql() -> str:
+    """The fold as a recursive CTE: step n meets the n-th statement of every (document, pair) block with the block's
+    survivors so far; `alike` are the predicates near enough to its own."""
+    names = ["pos", "seq", "subject", "subject_type", "predicate", "object", "object_type", "source_text", "confidence", "sn", "sr", "rev"]
+    pack = lambda **v: "struct_pack(" + ", ".join(f"{n} := {v[n]}" for n in names) + ")"
+    of = lambda s, **other: pack(**{n: f"{s}.{n}" for n in names} | other)
+    turned = lambda s: of(s, subject=f"{s}.object", object=f"{s}.subject", subject_type=f"{s}.object_type", object_type=f"{s}.subject_type", rev="true")
+    typed = lambda s, o, **other: of(s, **{c: f"CASE WHEN {s}.{c} = 'UNKNOWN' THEN {o}.{c} ELSE {s}.{c} END" for c in ("subject_type", "object_type")}, **other)
+    low = lambda c: f"trim(lower({c}))"
+    flip = "substr(seq, 2, 1) IN ('2', '5')"
+    pick = lambda a, b: f"CASE WHEN {flip} THEN {b} ELSE {a} END"
+    spo, ops = low("subject || ' ' || predicate || ' ' || object"), low("object || ' ' || predicate || ' ' || subject")
+    return f"""WITH RECURSIVE {ST_SUPP}, f AS MATERIALIZED (SELECT doc_id, seq, {pick('subject', 'object')} AS subject, {pick('subject_type', 'object_type')} AS subject_type, predicate,
+    {pick('object', 'subject')} AS object, {pick('object_type', 'subject_type')} AS object_type, source_text, confidence FROM st),
+  {similarity_sql(f"SELECT {spo} AS a, {low('source_text')} AS b FROM f UNION SELECT {ops}, {low('source_text')} FROM f", "wsim")},
+  {similarity_sql(f"SELECT DISTINCT {low('x.predicate')} AS a, {low('y.predicate')} AS b FROM (SELECT DISTINCT predicate FROM f) x, (SELECT DISTINCT predicate FROM f) y", "psim")},
+  near AS (SELECT a, list(b) AS alike FROM psim WHERE round(s, 9) >= 0.65 GROUP BY 1),
+  x AS MATERIALIZED (SELECT doc_id, least({low('subject')}, {low('object')}) || chr(1) || greatest({low('subject')}, {low('object')}) AS blk, coalesce(alike, []) AS alike,
+    row_number() OVER (PARTITION BY doc_id, least({low('subject')}, {low('object')}) || chr(1) || greatest({low('subject')}, {low('object')}) ORDER BY seq) AS n,
+    {pack(pos="seq", seq="seq", subject="subject", subject_type="subject_type", predicate="predicate", object="object", object_type="object_type", source_text="source_text",
+          confidence="confidence", sn="round(w1.s, 9)", sr="round(w2.s, 9)", rev="false")} AS s
+    FROM f JOIN wsim w1 ON w1.a = {spo} AND w1.b = {low('source_text')} JOIN wsim w2 ON w2.a = {ops} AND w2.b = {low('source_text')} LEFT JOIN near ON near.a = {low('predicate')}),
+  g AS (SELECT doc_id, blk, CAST(1 AS BIGINT) AS n, [s] AS surv FROM x WHERE n = 1
+    UNION ALL SELECT doc_id, blk, n, CASE WHEN j = 0 THEN list_append(surv, s) ELSE list_concat(list_append(surv[1:j - 1], u), surv[j + 1:]) END FROM (
+      SELECT *, CASE WHEN same AND s.sn > h.sn THEN {typed('s', 'h', pos='h.pos')} WHEN same THEN {typed('h', 's')}
+        WHEN better THEN {typed('s2', 'h2', pos='h.pos')} ELSE {typed('h2', 's2')} END AS u FROM (
+        SELECT *, CASE WHEN s.sr > s.sn THEN {turned('s')} ELSE s END AS s2, CASE WHEN h.sr > h.sn AND (better OR NOT h.rev) THEN {turned('h')} ELSE h END AS h2 FROM (
+          SELECT *, {low('s.subject')} = {low('h.subject')} AS same, greatest(s.sn, s.sr) > greatest(h.sn, h.sr) AS better FROM (
+            SELECT *, surv[j] AS h FROM (SELECT g.doc_id, g.blk, x.n, surv, s, coalesce(list_position(list_transform(surv, lambda v: list_contains(alike, {low('v.predicate')})), true), 0) AS j
+              FROM g JOIN x ON x.doc_id = g.doc_id AND x.blk = g.blk AND x.n = g.n + 1))))) ),
+  e AS (SELECT doc_id, unnest(surv) AS v FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, blk ORDER BY n DESC) = 1)
+  SELECT doc_id, v.pos AS position, v.seq AS seq, {", ".join(f"v.{c} AS {c}" for c in COLS)}, v.rev AS was_reversed FROM e"""
+
+
+@query("semantic_dedup", _dedup_sql())
 def semantic_dedup(t):
-    """Order-dependent greedy de-duplication with reversals; checked by brute force in the tests."""
+    """Order-dependent greedy de-duplication with reversals."""
     df = statements(t, "l_suppkey")
     flip = F.substring("seq", 2, 1).isin("2", "5")
     pick = lambda a, b: F.when(flip, F.col(b)).otherwise(F.col(a))
