@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..operators import candidates, documents, html, labels, ocr
 from ..operators.ranges import page_offsets
 from ..sources import documents as src
+from ..sources import loading
 from .derived import PAGES_SQL, SENTENCES_SQL, sql_norm, sql_strip
 from .registry import query
 
@@ -150,10 +151,60 @@ def page_texts(t):
     return html.extract_pages(t.pages).select("page_id", "text")
 
 
-@query("load_web_documents")
+@query("load_web_documents", f"""WITH a AS (SELECT page_id, url, html, {_nodes(_ARTICLE)} AS art FROM pages),
+  b AS (SELECT page_id, url, html, CASE WHEN length(array_to_string(art, '')) > 100 THEN art ELSE {_nodes(_BODY)} END AS nodes FROM a),
+  w AS (SELECT page_id, url, {sql_strip(_RAW_TITLE)} AS raw, {_CLEANED} AS text FROM b)
+  SELECT page_id, url, 'webpage' AS source_type, coalesce(nullif(raw, ''), nullif({sql_strip("regexp_replace(raw, '(?s)\\s*[|—\\-].*$', '')")}, '')) AS doc_title, CAST(NULL AS VARCHAR) AS author,
+    CAST(NULL AS VARCHAR) AS published_date, CAST(NULL AS VARCHAR) AS description, text, CASE WHEN length({sql_strip('text')}) < {fixed.MIN_PAGE_TEXT} THEN 'No meaningful content extracted from HTML' END AS error FROM w""")
 def load_web_documents(t):
     docs = src.load_html(t.pages.withColumn("error", F.lit(None).cast("string")))
-    return docs.select("page_id", "url", "source_type", "doc_title", "author", "published_date", "description", F.length("text").alias("char_count"), "error")
+    return docs.select("page_id", "url", "source_type", "doc_title", "author", "published_date", "description", "text", "error")
+
+
+# What a fetcher would return for each page: some fail, some are PDFs (told by header, by address or by their bytes), some
+# are challenge pages, some hold next to nothing.
+_KIND = "CASE WHEN page_id % 13 = 0 THEN 'fail' WHEN page_id % 11 IN (1, 2, 3) THEN 'pdf' WHEN page_id % 11 = 4 THEN 'badpdf' WHEN page_id % 17 = 0 THEN 'short' WHEN page_id % 7 = 0 THEN 'challenge' ELSE 'html' END"
+_PAGE_URL = "'http://site/' || page_id || CASE WHEN page_id % 11 = 2 THEN '.pdf?x=1' ELSE '' END"
+_PAGE_HEADER = "CASE WHEN page_id % 11 = 1 THEN 'application/pdf' WHEN page_id % 11 = 2 THEN NULL WHEN page_id % 11 IN (3, 4) THEN CASE WHEN page_id % 2 = 0 THEN 'application/octet-stream' END WHEN page_id % 3 = 0 THEN 'text/html; charset=utf-8' END"
+_FETCHED = f"""SELECT *, {_KIND} AS kind, {_PAGE_URL} AS u, {_PAGE_HEADER} AS header FROM pages"""
+_PDF_BODY = "'%PDF-1.4|' || coalesce(url, '') || chr(10) || 'Ann Lee' || chr(10) || ' first page ' || page_id || chr(12) || 'second page'"
+_CONTENT = f"""CASE kind WHEN 'pdf' THEN {_PDF_BODY} WHEN 'badpdf' THEN '%PDF-broken' WHEN 'short' THEN '<html><head><title>t</title></head><body><p>few words</p></body></html>'
+  WHEN 'challenge' THEN '<html><body>Just a moment...</body></html>' ELSE html END"""
+
+
+def _pdf_stub(content: bytes) -> tuple[list[str], dict]:
+    """A parser for the stand-in PDFs: a head line, an author line, pages parted by form feeds."""
+    head, author, body = content.decode().split("\n", 2)
+    return body.split("\f"), {"title": head.split("|", 1)[1], "author": author}
+
+
+def _loaded(t):
+    rows = t.pages.selectExpr("*", f"{_KIND} AS kind", f"{_PAGE_URL} AS u", f"{_PAGE_HEADER} AS header")
+    failed = F.col("kind") == "fail"
+    fetched = rows.select(F.col("u").alias("url"), F.col("u").alias("final_url"), F.when(~failed, F.encode(F.expr(_CONTENT), "UTF-8")).alias("content"), "header",
+                          F.when(failed, "timed out").alias("error"))
+    return loading.load_fetched(fetched, _pdf_stub)
+
+
+@query("loaded_documents", f"""WITH f AS ({_FETCHED}), a AS (SELECT page_id, u, html, {_nodes(_ARTICLE)} AS art FROM f WHERE kind = 'html'),
+  b AS (SELECT page_id, u, html, CASE WHEN length(array_to_string(art, '')) > 100 THEN art ELSE {_nodes(_BODY)} END AS nodes FROM a),
+  w AS (SELECT u, {sql_strip(_RAW_TITLE)} AS raw, {_CLEANED} AS text FROM b)
+  SELECT u AS url, 'webpage' AS source_type, coalesce(nullif(raw, ''), nullif({sql_strip("regexp_replace(raw, '(?s)\s*[|—\-].*$', '')")}, '')) AS title, CAST(NULL AS VARCHAR) AS author, text AS full_text, CAST(1 AS INTEGER) AS page_count
+  FROM w WHERE length({sql_strip('text')}) >= {fixed.MIN_PAGE_TEXT}
+  UNION ALL SELECT u, 'pdf', nullif(url, ''), 'Ann Lee', 'first page ' || page_id || chr(10) || 'second page', CAST(2 AS INTEGER) FROM f WHERE kind = 'pdf'""")
+def loaded_documents(t):
+    """Fetched PDFs and web pages as documents with their whole text."""
+    docs = loading.documents(_loaded(t))
+    return docs.select("url", "source_type", "title", "author", F.array_join("pages", "\n").alias("full_text"), "page_count")
+
+
+@query("rejected_urls", f"""WITH f AS ({_FETCHED}), a AS (SELECT page_id, u, html, {_nodes(_ARTICLE)} AS art FROM f WHERE kind = 'html'),
+  b AS (SELECT u, html, CASE WHEN length(array_to_string(art, '')) > 100 THEN art ELSE {_nodes(_BODY)} END AS nodes FROM a), w AS (SELECT u, {_CLEANED} AS text FROM b)
+  SELECT u AS url, CASE kind WHEN 'fail' THEN 'timed out' WHEN 'badpdf' THEN 'Failed to parse PDF: not enough values to unpack (expected 3, got 1)' WHEN 'short' THEN '{loading.NO_TEXT}' ELSE '{loading.CHALLENGE}' END AS reason
+  FROM f WHERE kind IN ('fail', 'badpdf', 'short', 'challenge') UNION ALL SELECT u, '{loading.NO_TEXT}' FROM w WHERE length({sql_strip('text')}) < {fixed.MIN_PAGE_TEXT}""")
+def rejected_urls(t):
+    """The other fetched rows, each with its reason."""
+    return loading.rejected(_loaded(t)).select("url", "reason")
 
 
 @query("clean_repeated_output")

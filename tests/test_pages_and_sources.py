@@ -122,3 +122,31 @@ def test_coerced_qualifiers(spark, fields, want):
     from factweave.operators.export import coerce_qualifiers
     df = spark.createDataFrame([(fields,)], "j string").select(F.from_json("j", "map<string,string>").alias("m"))
     assert df.select(F.size(coerce_qualifiers(F.col("m"))).alias("n")).first()["n"] == want
+
+
+def test_loaded_urls_and_rejects(spark):
+    from factweave.sources import loading
+
+    long = "<html><head><title>T | Site</title></head><body><p>" + "real words here " * 10 + "</p></body></html>"
+    web = {
+        "http://a/x.pdf": (b"%PDF-1 two\fpages", None), "http://b": (b"%PDF-2 sniffed", "application/octet-stream"), "http://c": (long.encode(), "text/html"), "http://d": (long.encode() + b"\xff\xfe", None),
+        "http://e": (b"<html><body>short</body></html>", "text/html"), "http://f": (b"<html>Just a moment...</html>", "text/html"), "http://g": (b"", None), "http://h": (b"bad", "application/pdf"),
+    }
+
+    def fetcher(url):
+        if url not in web:
+            raise OSError("no route")
+        return url + "/", *web[url]
+
+    def parser(content):
+        if not content.startswith(b"%PDF"):
+            raise ValueError("no PDF")
+        return content.decode().split("\f"), {"title": "P"}
+
+    urls = spark.createDataFrame([(u, 1) for u in [*web, "http://z", "http://c"]], "url string, error int")
+    loaded = loading.load_urls(urls, fetcher, parser)
+    docs = sorted((r["url"], r["source_type"], r["title"], r["page_count"]) for r in loading.documents(loaded).collect())
+    assert docs == [("http://a/x.pdf", "pdf", "P", 2), ("http://b", "pdf", "P", 1), ("http://c", "webpage", "T | Site", 1), ("http://c", "webpage", "T | Site", 1), ("http://d", "webpage", "T | Site", 1)]
+    bad = {r["url"]: r["reason"] for r in loading.rejected(loaded).collect()}
+    assert bad == {"http://e": loading.NO_TEXT, "http://f": loading.CHALLENGE, "http://g": loading.NO_TEXT, "http://h": "Failed to parse PDF: no PDF", "http://z": "no route"}
+    assert loading.load_urls(urls.limit(0), fetcher, parser).count() == 0
