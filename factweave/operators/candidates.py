@@ -93,18 +93,19 @@ def _apply(name: str, step):
     return run
 
 
+def xml_statements(c: Column) -> Column:
+    """The <stmt> elements of a well-formed answer with the right root, else null."""
+    rooted = F.when(c.rlike(r"^\s*<statements[\s>/]"), c)
+    return F.from_xml(rooted, STMT_SCHEMA)["stmt"]
+
+
 def parse_statements_xml(df: DataFrame, xml: str, repair: bool = True) -> DataFrame:
     """One row per <stmt> with stmt_idx; repaired once if it does not parse; rows without subject or
     object are skipped, another root tag yields nothing."""
-
-    def statements(c: Column) -> Column:
-        rooted = F.when(c.rlike(r"^\s*<statements[\s>/]"), c)
-        return F.from_xml(rooted, STMT_SCHEMA)["stmt"]
-
-    parsed = statements(F.col(xml))
+    parsed = xml_statements(F.col(xml))
     if repair:
         # the second parse is only evaluated where the first gave nothing
-        parsed = F.coalesce(parsed, statements(repair_xml(F.col(xml))["xml"]))
+        parsed = F.coalesce(parsed, xml_statements(repair_xml(F.col(xml))["xml"]))
     rows = df.select("*", F.posexplode(parsed).alias("stmt_idx", "s"))
     out = rows.withColumns({
         "subject": F.coalesce(tx.strip(F.col("s.subject._VALUE")), F.lit("")),

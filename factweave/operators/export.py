@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
+from . import candidates
 from .linking import QUALIFIER_FIELDS
 from .ranking import dense_number
 
@@ -213,6 +214,46 @@ def coerce_qualifiers(raw: Column) -> Column:
     return F.transform_keys(kept, lambda k, _: F.when(k.isin(*known), k).otherwise(F.concat(F.lit("id."), k)))
 
 
+def variant_qualifiers(raw: Column) -> Column:
+    """`coerce_qualifiers` of a JSON object given as a VARIANT: keys of a nested `identifiers` object are identifiers too, a
+    key beside it wins over one inside it, and only strings count. Null for no object or nothing left."""
+    strings = lambda v: F.map_filter(F.transform_values(v.cast("map<string,variant>"), lambda _, x: F.when(F.schema_of_variant(x) == "STRING", x.cast("string"))), lambda _, x: x.isNotNull())
+    is_object = lambda v: F.schema_of_variant(v).startswith("OBJECT")
+    nested = F.try_variant_get(raw, "$.identifiers", "variant")
+    inner = F.transform_keys(F.when(is_object(nested), strings(nested)), lambda k, _: F.concat(F.lit("id."), k))
+    inner = F.map_filter(F.transform_values(inner, lambda _, v: tx.strip_page_tags(v)), lambda _, v: v != "")
+    outer = coerce_qualifiers(F.map_filter(F.when(is_object(raw), strings(raw)), lambda k, _: k != "identifiers"))
+    none = F.create_map().cast("map<string,string>")
+    both = F.map_concat(F.map_filter(F.coalesce(inner, none), lambda k, _: ~F.map_contains_key(F.coalesce(outer, none), k)), F.coalesce(outer, none))
+    return F.when(F.size(both) > 0, both)
+
+
+def region_of(q: Column) -> Column:
+    """Region of qualifiers given as a VARIANT: the first of region, jurisdiction and country that is there at all, cleaned; a
+    first one that is blank or no string gives none."""
+    field = lambda name: F.try_variant_get(q, f"$.{name}", "variant")
+    given = lambda v: F.when(F.coalesce(F.schema_of_variant(v), F.lit("VOID")) != "VOID", v)
+    first = F.coalesce(*[given(field(n)) for n in ("region", "jurisdiction", "country")])
+    return tx.blank_to_null(tx.strip_page_tags(F.when(F.schema_of_variant(first) == "STRING", first.cast("string"))))
+
+
+ANSWER_FIELDS = ["stmt_idx", "subject", "subject_type", "predicate", "object", "object_type", "text"]
+
+
+def read_answers(df: DataFrame, body: str) -> DataFrame:
+    """One row per statement of an answer in any form, with `form`: JSON if it looks like JSON and parses, else well-formed
+    XML, else what regular expressions find in it. Each form is only tried on the answers that failed before it; null and
+    blank answers give nothing."""
+    given = df.withColumn("__b", tx.strip(F.col(body))).where(F.col("__b") != "")
+    tagged = given.withColumn("__form", F.when(F.col("__b").rlike(r"^[\[{]") & F.try_parse_json("__b").isNotNull(), "json").when(candidates.xml_statements(F.col("__b")).isNotNull(), "xml").otherwise("regex"))
+    part = lambda form: tagged.where(F.col("__form") == form)
+    xml = candidates.parse_statements_xml(part("xml"), "__b", repair=False)
+    xml = xml.withColumn("text", F.coalesce("source_text", tx.strip(F.concat_ws(" ", "subject", "predicate", "object")))).where(F.col("predicate") != "")
+    found = [parse_statements_json(part("json"), "__b"), xml, parse_statements_regex(part("regex"), "__b")]
+    rows = [r.select(*df.columns, F.col("__form").alias("form"), *ANSWER_FIELDS) for r in found]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 def extraction_method(c: Column) -> Column:
     m = F.lower(tx.strip(c))
     return F.when(m.isin(*fixed.EXTRACTION_METHODS), m)

@@ -127,6 +127,38 @@ def parsed_broken_xml(t):
     return export.parse_statements_regex(df, "xml").select("seq", "stmt_idx", "subject", "subject_type", "predicate", "object", "object_type", "text")
 
 
+@query("read_answers", f"""WITH {ST}, x AS (SELECT *, CAST(substr(seq, 1, 2) AS INTEGER) AS k FROM st)
+  SELECT seq, CASE WHEN k IN (1, 2) THEN 'json' WHEN k IN (3, 4) THEN 'xml' ELSE 'regex' END AS form, CAST(0 AS INTEGER) AS stmt_idx, subject, CASE WHEN k = 2 THEN 'UNKNOWN' ELSE subject_type END AS subject_type, predicate, object,
+    CASE WHEN k IN (1, 2) THEN 'UNKNOWN' ELSE object_type END AS object_type, CASE WHEN k = 2 THEN subject || ' ' || predicate || ' ' || object ELSE source_text END AS text FROM x WHERE k < 7""")
+def read_answers(t):
+    """Answers in every form: JSON of two shapes, XML, XML behind a broken bracket, XML that does not close, nothing."""
+    c = F.col
+    q = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    cat = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    k = F.substring("seq", 1, 2).cast("int")
+    one = candidates.statement_xml(*[c(x) for x in ("subject", "subject_type", "predicate", "object", "object_type", "source_text")])
+    flat = cat('[{"subject": {"text": ', q(c("subject")), ', "type": "ORG"}, "predicate": ', q(c("predicate")), ', "object": {"name": ', q(c("object")), '}, "source_text": ', q(c("source_text")), "}]")
+    labeled = cat('{"labeled_statements": [{"subject": {"text": ', q(c("subject")), '}, "predicate": ', q(c("predicate")), ', "object": {"text": ', q(c("object")), "}}]}")
+    xml = cat("<statements>", one, "</statements>")
+    body = (F.when(k == 1, flat).when(k == 2, cat("  ", labeled, " ")).when(k == 3, xml).when(k == 4, cat("\n", xml)).when(k == 5, cat("{ broken ", xml))
+            .when(k == 6, cat("<statements> & ", one, "<stmt><subject>only</subject></stmt> <unclosed")).otherwise(F.lit(" ")))
+    return export.read_answers(statements(t).select("seq", body.alias("body")), "body").select("seq", "form", *export.ANSWER_FIELDS)
+
+
+_RAW_QUALIFIERS = """'{"legal_name": "' || s_name || ' </page>", "city": "  ", "org": 5, "ticker": "T' || s_suppkey || '", "identifiers": {"lei": "L' || s_suppkey || '", "ticker": "inner", "other": null, "n": 3}'
+  || CASE s_suppkey % 4 WHEN 0 THEN ', "region": "' || n_name || '"' WHEN 1 THEN ', "region": null, "jurisdiction": "' || n_name || '"' WHEN 2 THEN ', "country": "' || n_name || ', PAGE"' ELSE ', "region": " none ", "country": "X"' END || '}'"""
+
+
+@query("nested_qualifiers", """SELECT s_suppkey, s_name AS legal_name, CAST(NULL AS VARCHAR) AS org, 'T' || s_suppkey AS id_ticker, 'L' || s_suppkey AS id_lei, CASE WHEN s_suppkey % 4 = 3 THEN NULL ELSE n_name END AS region,
+  CAST(4 AS INTEGER) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def nested_qualifiers(t):
+    """Qualifiers of exported JSON with nested identifiers, and the region they give."""
+    x = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.try_parse_json(F.expr(_RAW_QUALIFIERS)).alias("v"))
+    m = x.select("s_suppkey", export.variant_qualifiers(F.col("v")).alias("m"), export.region_of(F.col("v")).alias("region"))
+    get = lambda k: F.try_element_at("m", F.lit(k))
+    return m.select("s_suppkey", get("legal_name").alias("legal_name"), get("org").alias("org"), get("id.ticker").alias("id_ticker"), get("id.lei").alias("id_lei"), "region", F.size("m").alias("n"))
+
+
 @query("coerced_qualifiers", """SELECT s_suppkey, s_name AS legal_name, CASE WHEN s_suppkey % 2 = 0 THEN n_name END AS region, 'T' || s_suppkey AS id_ticker, CAST(CASE WHEN s_suppkey % 2 = 0 THEN 3 ELSE 2 END AS INTEGER) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def coerced_qualifiers(t):
     x = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))

@@ -79,6 +79,19 @@ def feedback_rows(t):
     return stores.feedback_rows(df).select("input_text", "num_statements", "accepted", "source", F.col("output_xml").contains('<subject type="ORG">').alias("has_subject"))
 
 
+@query("training_lines", f"""WITH {ST} SELECT seq, CASE WHEN beam < 3 THEN source_text END AS input_text, CASE WHEN beam < 3 THEN '<stmt>' || subject || '</stmt>' END AS output_xml,
+  CASE WHEN beam < 3 THEN CAST(CASE WHEN beam = 1 THEN 0 ELSE 2 END AS INTEGER) END AS num_statements, CASE WHEN beam < 3 THEN true END AS accepted, beam = 3 AS is_broken FROM st""")
+def training_lines(t):
+    """Training data as JSON lines, some without a count and some cut off."""
+    df = statements(t)
+    q = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    count = F.when(F.col("beam") != 1, ', "num_statements": 2').otherwise("")
+    whole = F.concat(F.lit('{"input": '), q(F.col("source_text")), F.lit(', "output": '), q(F.concat(F.lit("<stmt>"), "subject", F.lit("</stmt>"))), count, F.lit("}"))
+    lines = df.select("seq", F.when(F.col("beam") == 3, F.regexp_replace(whole, "}$", "")).otherwise(whole).alias("value"))
+    keyed = stores.training_lines(lines, keep=["seq"])
+    return keyed.select("seq", "input_text", "output_xml", "num_statements", "accepted", F.col("broken").isNotNull().alias("is_broken"))
+
+
 # ---- locations -------------------------------------------------------------------------------
 
 def _labels(t):

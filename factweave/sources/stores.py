@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -57,6 +59,32 @@ def feedback_rows(df: DataFrame, text: str = "source_text", xml: str = "output_x
                      F.col(n).alias("num_statements"), F.lit(None).cast("boolean").alias("accepted"), kind.alias("source"))
 
 
+_LINE = "input string, output string, num_statements int, broken string"
+
+
+def training_lines(lines: DataFrame, value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """JSON lines of training data (input, output, num_statements) as rows of the feedback table, accepted and without a
+    user; `broken` holds a line that is no such object (neither JSON with both texts), all else of its row is null. Blank lines are
+    skipped; columns named in `keep` are carried along."""
+    line = F.col(value)
+    parsed = lines.where(tx.strip(line) != "").select(*keep, line.alias("__line"), F.from_json(line, _LINE, {"columnNameOfCorruptRecord": "broken"}).alias("d"))
+    fine = F.col("d.broken").isNull() & F.col("d.input").isNotNull() & F.col("d.output").isNotNull()
+    only = lambda c: F.when(fine, c)
+    return parsed.select(
+        *keep, only(F.col("d.input")).alias("input_text"), only(F.col("d.output")).alias("output_xml"), only(F.coalesce("d.num_statements", F.lit(0))).alias("num_statements"),
+        only(F.lit(True)).alias("accepted"), F.lit(None).cast("string").alias("user_uuid"), F.when(~F.coalesce(fine, F.lit(False)), F.col("__line")).alias("broken"))
+
+
+def read_training(spark: SparkSession, path: str) -> DataFrame:
+    """`training_lines` of the JSONL files at path."""
+    return training_lines(spark.read.text(path))
+
+
+def write_training(rows: DataFrame, path: str) -> None:
+    """The rows that are not broken as JSONL files that `read_training` reads back."""
+    rows.where(F.col("broken").isNull()).select(F.col("input_text").alias("input"), F.col("output_xml").alias("output"), "num_statements").write.mode("append").json(path)
+
+
 def accepted_text(c: Column, limit: int = 10_000) -> Column:
     """Requests longer than the service limit are refused, not cut."""
     return F.length(tx.strip(c)).between(1, limit)

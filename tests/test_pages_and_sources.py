@@ -150,3 +150,17 @@ def test_loaded_urls_and_rejects(spark):
     bad = {r["url"]: r["reason"] for r in loading.rejected(loaded).collect()}
     assert bad == {"http://e": loading.NO_TEXT, "http://f": loading.CHALLENGE, "http://g": loading.NO_TEXT, "http://h": "Failed to parse PDF: no PDF", "http://z": "no route"}
     assert loading.load_urls(urls.limit(0), fetcher, parser).count() == 0
+
+
+def test_training_lines_round_trip(spark, tmp_path):
+    from factweave.sources import stores
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text('{"input": "a\\nb", "output": "<x/>", "num_statements": 3}\n\n{"input": "é", "output": ""}\n{"input": "cut\n[1]\n{"output": "no input"}\n')
+    rows = stores.read_training(spark, str(tmp_path / "in"))
+    got = sorted((tuple(r) for r in rows.collect()), key=repr)
+    assert got == sorted([("a\nb", "<x/>", 3, True, None, None), ("é", "", 0, True, None, None), (None, None, None, None, None, '{"input": "cut'), (None, None, None, None, None, "[1]"),
+                          (None, None, None, None, None, '{"output": "no input"}')], key=repr)
+    stores.write_training(rows, str(tmp_path / "out"))
+    again = stores.read_training(spark, str(tmp_path / "out"))
+    assert sorted((r["input_text"], r["num_statements"]) for r in again.collect()) == [("a\nb", 3), ("é", 0)]

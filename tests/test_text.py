@@ -88,3 +88,15 @@ def test_sentence_span_covers_the_sentence(spark):
     r = one(spark, evidence_span(F.col("t"), F.lit(None).cast("string"), F.lit("apple"), F.lit("IPHONE")), t=text)
     assert text[r["start"]:r["end"]] == " Apple announced iPhone."
     assert one(spark, evidence_span(F.col("t"), F.lit(None).cast("string"), F.lit("Apple"), F.lit("Nokia")), t=text) is None
+
+
+def test_nested_qualifiers_and_regions(spark):
+    from factweave.operators import export
+    rows = [
+        ('{"identifiers": {"lei": "L", "a": "inner", "x": 1}, "a": "outer", "role": "CEO</page>", "org": "NONE"}', {"role": "CEO", "id.lei": "L", "id.a": "outer"}, None),
+        ('{"identifiers": "text", "region": "", "country": "C"}', {"country": "C"}, None), ('{"region": null, "country": " C "}', {"country": "C"}, "C"), ('{"region": 5, "country": "C"}', {"country": "C"}, None),
+        ("{}", None, None), ("[1]", None, None), ("no json", None, None), (None, None, None),
+    ]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, j string").withColumn("v", F.try_parse_json("j"))
+    got = {r["i"]: (r["m"], r["region"]) for r in df.select("i", export.variant_qualifiers(F.col("v")).alias("m"), export.region_of(F.col("v")).alias("region")).collect()}
+    assert got == {i: (m, region) for i, (_, m, region) in enumerate(rows)}
