@@ -189,7 +189,7 @@ def _loaded(t):
 @query("loaded_documents", f"""WITH f AS ({_FETCHED}), a AS (SELECT page_id, u, html, {_nodes(_ARTICLE)} AS art FROM f WHERE kind = 'html'),
   b AS (SELECT page_id, u, html, CASE WHEN length(array_to_string(art, '')) > 100 THEN art ELSE {_nodes(_BODY)} END AS nodes FROM a),
   w AS (SELECT u, {sql_strip(_RAW_TITLE)} AS raw, {_CLEANED} AS text FROM b)
-  SELECT u AS url, 'webpage' AS source_type, coalesce(nullif(raw, ''), nullif({sql_strip("regexp_replace(raw, '(?s)\s*[|—\-].*$', '')")}, '')) AS title, CAST(NULL AS VARCHAR) AS author, text AS full_text, CAST(1 AS INTEGER) AS page_count
+  SELECT u AS url, 'webpage' AS source_type, coalesce(nullif(raw, ''), nullif({sql_strip("regexp_replace(raw, '(?s)\\s*[|—\\-].*$', '')")}, '')) AS title, CAST(NULL AS VARCHAR) AS author, text AS full_text, CAST(1 AS INTEGER) AS page_count
   FROM w WHERE length({sql_strip('text')}) >= {fixed.MIN_PAGE_TEXT}
   UNION ALL SELECT u, 'pdf', nullif(url, ''), 'Ann Lee', 'first page ' || page_id || chr(10) || 'second page', CAST(2 AS INTEGER) FROM f WHERE kind = 'pdf'""")
 def loaded_documents(t):

@@ -20,10 +20,6 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(tx.strip(F.col("value")).alias("text"), F.input_file_name().alias("path"))
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def page_rows(conversations: DataFrame) -> DataFrame:
     """Conversation turns as pages of a document (turn 0 is page 1)."""
     return conversations.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_number"), "text", "role")

@@ -11,7 +11,6 @@ from ..functions import text as tx
 from ..operators.ranking import first_per_key
 
 TTL_HOURS = 24
-RUN_STATES = ["pending", "running", "succeeded", "failed"]
 
 
 def cache_key(text: Column, canonical: Column) -> Column:
