@@ -53,9 +53,15 @@ def dedup_counts(t):
     return documents.dedup_counts(candidates.split_sentences(t.documents.select("doc_id", "text")).drop("text"), "doc_id", "sentence")
 
 
-@query("best_per_source", _first("doc_id, source_text", "confidence DESC, seq"))
+_SOURCED = "CASE WHEN beam < 3 THEN source_text END"
+
+
+@query("best_per_source", f"""WITH {ST_SUPP}, x AS (SELECT * REPLACE ({_SOURCED} AS source_text) FROM st), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source_text ORDER BY confidence DESC, seq) AS rn FROM x)
+  SELECT doc_id, seq, {TRIPLE} FROM r WHERE rn = 1 OR source_text IS NULL""")
 def best_per_source(t):
-    return scoring.best_per_source(statements(t, "l_suppkey"), ["doc_id"], [F.asc("seq")]).select("doc_id", "seq", *COLS)
+    """The best statement of each source text; one beam's statements have no source text and are all kept."""
+    df = statements(t, "l_suppkey").withColumn("source_text", F.expr(_SOURCED))
+    return scoring.best_per_source(df, ["doc_id"], [F.asc("seq")]).select("doc_id", "seq", *COLS)
 
 
 @query("ranked_statements", f"WITH {ST_SUPP}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, seq) AS INTEGER) AS rank FROM st) SELECT doc_id, rank, seq, subject, predicate, object, confidence FROM r")
@@ -153,10 +159,10 @@ def _x(tag: str, v: str, kind: str | None = None) -> str:
     return f"'<{tag}' || {attr} || '>' || replace(replace(replace({v}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</{tag}>'"
 
 
-_STMT_SQL = f"'<stmt>' || {_x('subject', 'subject', 'subject_type')} || {_x('object', 'object', 'object_type')} || {_x('predicate', 'predicate')} || {_x('text', 'source_text')} || '</stmt>'"
+STMT_SQL = f"'<stmt>' || {_x('subject', 'subject', 'subject_type')} || {_x('object', 'object', 'object_type')} || {_x('predicate', 'predicate')} || {_x('text', 'source_text')} || '</stmt>'"
 
 
-@query("statement_xml", f"WITH {ST} SELECT doc_id, seq, '<statements>' || {_STMT_SQL} || '</statements>' AS xml FROM st")
+@query("statement_xml", f"WITH {ST} SELECT doc_id, seq, '<statements>' || {STMT_SQL} || '</statements>' AS xml FROM st")
 def statement_xml(t):
     return _with_xml(statements(t)).select("doc_id", "seq", "xml")
 
@@ -166,7 +172,7 @@ def _with_xml(df):
     return df.withColumn("xml", F.concat(F.lit("<statements>"), one, F.lit("</statements>")))
 
 
-@query("longest_candidate", f"WITH {ST_SUPP}, x AS (SELECT doc_id, seq, '<statements>' || {_STMT_SQL} || '</statements>' AS xml FROM st), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(xml) DESC, seq) AS rn FROM x) SELECT doc_id, xml FROM r WHERE rn = 1")
+@query("longest_candidate", f"WITH {ST_SUPP}, x AS (SELECT doc_id, seq, '<statements>' || {STMT_SQL} || '</statements>' AS xml FROM st), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(xml) DESC, seq) AS rn FROM x) SELECT doc_id, xml FROM r WHERE rn = 1")
 def longest_candidate(t):
     return candidates.longest_candidate(_with_xml(statements(t, "l_suppkey")), ["doc_id"], "xml", ["seq"]).select("doc_id", "xml")
 

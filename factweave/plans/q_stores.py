@@ -8,6 +8,7 @@ from ..functions.vectors import embed
 from ..operators import candidates, locations
 from ..sources import stores
 from .derived import sql_low, sql_strip, statements, statements_sql
+from .q_statements import STMT_SQL
 from .registry import query
 
 ST = statements_sql()
@@ -70,13 +71,13 @@ def first_failures(t):
     return stores.run_error(_runs(t), "run_id", [F.asc("ts"), F.asc("event_id")]).select("run_id", "ts", "event_id")
 
 
-@query("feedback_rows", f"""WITH {ST} SELECT '<page>' || source_text || '</page>' AS input_text, CAST(1 AS INTEGER) AS num_statements, CAST(NULL AS BOOLEAN) AS accepted,
-  CASE beam WHEN 0 THEN 'upload' WHEN 1 THEN 'liked' ELSE 'correction' END AS source, contains('<subject type="ORG">' || subject || '</subject>', subject) AS has_subject FROM st""")
+@query("feedback_rows", f"""WITH {ST} SELECT '<page>' || source_text || '</page>' AS input_text, '<statements>' || {STMT_SQL} || '</statements>' AS output_xml, CAST(1 AS INTEGER) AS num_statements,
+  CAST(NULL AS BOOLEAN) AS accepted, CASE beam WHEN 0 THEN 'upload' WHEN 1 THEN 'liked' ELSE 'correction' END AS source FROM st""")
 def feedback_rows(t):
     one = candidates.statement_xml(*[F.col(c) for c in ("subject", "subject_type", "predicate", "object", "object_type", "source_text")])
     df = statements(t).withColumns({"output_xml": F.concat(F.lit("<statements>"), one, F.lit("</statements>")), "num_statements": F.lit(1),
                                     "source": F.when(F.col("beam") == 0, "upload").when(F.col("beam") == 1, "liked").otherwise("spam")})
-    return stores.feedback_rows(df).select("input_text", "num_statements", "accepted", "source", F.col("output_xml").contains('<subject type="ORG">').alias("has_subject"))
+    return stores.feedback_rows(df).select("input_text", "output_xml", "num_statements", "accepted", "source")
 
 
 @query("training_lines", f"""WITH {ST} SELECT seq, CASE WHEN beam < 3 THEN source_text END AS input_text, CASE WHEN beam < 3 THEN '<stmt>' || subject || '</stmt>' END AS output_xml,
