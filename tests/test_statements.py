@@ -108,6 +108,14 @@ def test_triple_without_source_is_neutral(spark):
     assert df.select(scoring.triple_score(c("s"), c("p"), c("o"), c("src"), F.lit(1.0), F.lit(1.0)).alias("x")).first()["x"] == 0.5
 
 
+def test_both_ways_to_find_first_places(monkeypatch):
+    terms = ["", "ab", "b", "bab", "zz", "語b", "a"]
+    texts = ["", "abab語b", "bab" * 50]
+    direct = [evidence.first_places(t, terms) for t in texts]
+    monkeypatch.setattr(evidence, "DIRECT", -1)
+    assert [evidence.first_places(t, terms) for t in texts] == direct == [{x: t.find(x) for x in terms if x in t} for t in texts]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_spans_and_coverage_equal_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(evidence, "PER_ROW", 7)
