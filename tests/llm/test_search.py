@@ -75,6 +75,33 @@ def test_elimination_is_exact_and_spares_work():
     assert seen < exact.size
 
 
+def test_pivot_search_over_many_blocks_equals_brute_force(spark, monkeypatch):
+    """Clusters of all sizes, one with a third of the rows, in blocks of 64: most are never moved to a query."""
+    monkeypatch.setattr(pivots, "BLOCK_ROWS", 64)
+    rng = np.random.default_rng(9)
+    at = np.concatenate([np.zeros(1000, int), rng.integers(1, 30, 2000)])
+    x = rng.normal(size=(30, 6))[at] * 3 + rng.normal(size=(3000, 6)) * 0.1
+    ids = np.arange(3000)
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in pivots.search(df, df.where("vec_id % 50 = 0"), 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    w = pivots.whole(x).astype(np.int64)
+    for i in ids[::50]:
+        s = w @ w[i]
+        other = ids[ids != i]
+        want = other[np.lexsort((other, -s[other]))][:5]
+        assert got[i] == [(j, s[j]) for j in want]
+
+
+def test_repeated_ids(spark):
+    """Rows that share an id all count in the exact search; of queries that share one the smallest vector asks."""
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 3.0])], "vec_id long, embedding array<double>")
+    got = pivots.search(df, df.where("vec_id = 1"), 3).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(3, 3 * 256 * 256), (2, 0), (2, 0)]
+
+
 @pytest.mark.parametrize("k", [1, 7])
 def test_graph_search_finds_centroids(k):
     rng = np.random.default_rng(k)
