@@ -52,6 +52,37 @@ def stage_timings(events: DataFrame, keys: list[str], stage: str, seconds: str)
     return events.groupBy(*keys, stage).agg(F.sum(seconds).alias("seconds"), F.count(F.lit(1)).alias("runs"))
 
 
+def merged_logs(logs: DataFrame, doc: str, stage: str, seconds: str, level: str, message: str, order: list[str]) -> DataFrame:
+    """(doc, timings map<stage,seconds>, errors, warnings) of the contexts of a document's chunks: times of a stage add up,
+    messages follow each other in `order`. Times are added before the rows of a document come together; its
+    messages are one list by definition. Rows without a stage or without a message only count for the other."""
+    times = logs.where(F.col(stage).isNotNull()).groupBy(doc, stage).agg(F.sum(seconds).alias("__s"))
+    timings = times.groupBy(doc).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(stage, "__s")))).alias("timings"))
+    said = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col(level) == kind, F.struct(*order, message)))), lambda m: m[message])
+    told = logs.where(F.col(message).isNotNull()).groupBy(doc).agg(said("error").alias("errors"), said("warning").alias("warnings"))
+    return timings.join(told, doc, "full")
+
+
+def statements_by(statements: DataFrame, doc: str, part: str) -> DataFrame:
+    """Statements of each page or chunk (`part`) of a document, counted; a statement without one is in none of them."""
+    return statements.where(F.col(part).isNotNull()).groupBy(doc, part).agg(F.count(F.lit(1)).alias("statements"))
+
+
+def context_dict(docs: DataFrame, statements: DataFrame, logs: DataFrame, doc: str, chunk: str, order: list[str], fields: list[str]) -> DataFrame:
+    """(doc, context) of docs(doc, title, summary, duplicates_removed): the JSON form of a document's context with all its
+    statements(doc, chunk, *order, *fields) in `order` and its `merged_logs`. Absent ones are empty lists."""
+    per = statements.groupBy(doc).agg(
+        F.count_distinct(chunk).alias("chunk_count"), F.count(F.lit(1)).alias("statement_count"),
+        F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*fields).alias("__f")))), lambda s: s["__f"]).alias("statements"))
+    out = docs.join(per, doc, "left").join(logs, doc, "left")
+    none = F.array()
+    return out.select(doc, F.to_json(F.struct(
+        F.col(doc).alias("document_id"), F.col("title").alias("document_title"), "summary", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"),
+        F.coalesce("statement_count", F.lit(0)).alias("statement_count"), "duplicates_removed", F.coalesce("statements", none).alias("statements"),
+        F.coalesce("timings", F.create_map().cast("map<string,bigint>")).alias("timings"), F.coalesce("errors", none).alias("errors"), F.coalesce("warnings", none).alias("warnings")),
+        {"ignoreNullFields": "false"}).alias("context"))
+
+
 def summary_input(c: Column, max_tokens: int = 10_000, buffer: float = 0.95, keep: float = 0.7) -> Column:
     """Text cut to about max_tokens: by characters per token, then back to the last ". " or newline
     if that keeps more than 70 %."""

@@ -267,7 +267,12 @@ def card_view(labels: Column, topics: Column, shown: int = 3) -> Column:
 
 
 def apply_edits(statements: DataFrame, edits: DataFrame, key: str) -> DataFrame:
-    """Statement table after an edit list (key, action update|delete, new_subject/predicate/object)."""
-    joined = statements.join(edits, key, "left").where(~F.col("action").eqNullSafe("delete"))
+    """Statement table after an edit list (key, action update|delete|append, new_subject/predicate/object). An update or a
+    deletion of a key that is not there does nothing; an appended row is blank where the edit gives no value."""
+    joined = statements.join(edits.where(F.col("action") != "append"), key, "left").where(~F.col("action").eqNullSafe("delete"))
     fresh = lambda c: F.when(F.col("action") == "update", F.coalesce(f"new_{c}", c)).otherwise(F.col(c)).alias(c)
-    return joined.select(*[fresh(c) if f"new_{c}" in edits.columns else F.col(c) for c in statements.columns])
+    kept = joined.select(*[fresh(c) if f"new_{c}" in edits.columns else F.col(c) for c in statements.columns])
+    blank = lambda c: F.lit("UNKNOWN") if c.endswith("_type") else F.lit("")
+    given = lambda c: F.coalesce(f"new_{c}", blank(c)) if f"new_{c}" in edits.columns else blank(c)
+    added = edits.where(F.col("action") == "append").select(*[F.col(c) if c == key else given(c).alias(c) for c in statements.columns])
+    return kept.unionByName(added)

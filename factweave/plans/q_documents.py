@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import candidates, chunking, documents, ranges
 from ..sources import documents as src
-from .derived import PAGES_SQL, SENTENCES_SQL, sql_norm
+from .derived import PAGES_SQL, SENTENCES_SQL, sql_norm, statements, statements_sql
 from .flow import FlowConfig, document_statements, text_statements
 from .registry import query
 
@@ -82,6 +82,58 @@ def stage_timings(t):
     return out.withColumn("seconds", F.round("seconds", 2))
 
 
+@query("page_full_texts", "SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS full_text FROM conversations GROUP BY 1")
+def page_full_texts(t):
+    """Whole documents with a blank line between pages."""
+    return documents.join_pages(src.page_rows(t.conversations), sep="\n\n")
+
+
+@query("page_document_texts", "SELECT conv_id AS doc_id, string_agg(text, chr(10) ORDER BY turn) AS full_text, length(string_agg(text, chr(10) ORDER BY turn)) AS chars FROM conversations GROUP BY 1")
+def page_document_texts(t):
+    return documents.join_pages(src.page_rows(t.conversations)).withColumn("chars", F.length("full_text").cast("long"))
+
+
+@query("statements_by_page_and_chunk", f"""WITH {statements_sql()}, x AS (SELECT doc_id, attempt AS chunk_index, CASE WHEN beam > 0 THEN beam END AS page_number FROM st)
+  SELECT doc_id, 'page' AS part, CAST(page_number AS INTEGER) AS number, count(*) AS statements FROM x WHERE page_number IS NOT NULL GROUP BY ALL UNION ALL SELECT doc_id, 'chunk', CAST(chunk_index AS INTEGER), count(*) FROM x GROUP BY ALL""")
+def statements_by_page_and_chunk(t):
+    """Statements of each page and of each chunk; statements without a page are in none."""
+    s = statements(t).select("doc_id", F.col("attempt").alias("chunk_index"), F.when(F.col("beam") > 0, F.col("beam")).alias("page_number"))
+    each = lambda part, name: documents.statements_by(s, "doc_id", name).select("doc_id", F.lit(part).alias("part"), F.col(name).cast("int").alias("number"), "statements")
+    return each("page", "page_number").unionByName(each("chunk", "chunk_index"))
+
+
+LOGS_SQL = """lg AS (SELECT user_id AS doc_id, event_id, CASE WHEN event_id % 11 <> 0 THEN event_type END AS stage, CAST(trunc(value) AS BIGINT) AS s, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'warning' END AS level,
+    CASE WHEN event_type IN ('error', 'view') THEN event_type || ' ' || event_id END AS message FROM events),
+  tm AS (SELECT doc_id, stage, sum(s)::BIGINT AS s FROM lg WHERE stage IS NOT NULL GROUP BY 1, 2), tt AS (SELECT doc_id, list(stage ORDER BY stage) AS stages, list(s ORDER BY stage) AS seconds FROM tm GROUP BY 1),
+  ms AS (SELECT doc_id, coalesce(list(message ORDER BY event_id) FILTER (level = 'error'), []) AS errors, coalesce(list(message ORDER BY event_id) FILTER (level = 'warning'), []) AS warnings FROM lg WHERE message IS NOT NULL GROUP BY 1)"""
+
+
+def _logs(t):
+    kind = F.col("event_type")
+    e = t.events.select(F.col("user_id").alias("doc_id"), "event_id", F.when(F.col("event_id") % 11 != 0, kind).alias("stage"), F.col("value").cast("long").alias("s"),
+                        F.when(kind == "error", "error").when(kind == "view", "warning").alias("level"), F.when(kind.isin("error", "view"), F.concat_ws(" ", kind, "event_id")).alias("message"))
+    return documents.merged_logs(e, "doc_id", "stage", "s", "level", "message", ["event_id"])
+
+
+@query("merged_logs", f"""WITH {LOGS_SQL} SELECT coalesce(tt.doc_id, ms.doc_id) AS doc_id, array_to_string(stages, ',') AS stages, array_to_string(seconds, ',') AS seconds, array_to_string(errors, ',') AS errors, array_to_string(warnings, ',') AS warnings
+  FROM tt FULL JOIN ms ON tt.doc_id = ms.doc_id""")
+def merged_logs(t):
+    """Stage times added up and messages in order over the chunks of a document."""
+    text = lambda c, n: F.array_join(c.cast("array<string>"), ",").alias(n)
+    return _logs(t).select("doc_id", text(F.map_keys("timings"), "stages"), text(F.map_values("timings"), "seconds"), text(F.col("errors"), "errors"), text(F.col("warnings"), "warnings"))
+
+
+@query("context_dicts", f"""WITH {statements_sql()}, {LOGS_SQL},
+  pd AS (SELECT doc_id, count(DISTINCT attempt) AS chunks, count(*) AS n, list({{'subject': subject, 'predicate': predicate, 'object': object, 'source_text': source_text}} ORDER BY seq) AS stmts FROM st GROUP BY 1)
+  SELECT o_orderkey AS doc_id, CAST(to_json({{'document_id': o_orderkey, 'document_title': o_orderpriority, 'summary': CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END, 'chunk_count': coalesce(chunks, 0), 'statement_count': coalesce(n, 0),
+    'duplicates_removed': o_custkey, 'statements': coalesce(stmts, []), 'timings': coalesce(map(stages, seconds), map([]::VARCHAR[], []::BIGINT[])), 'errors': coalesce(errors, []), 'warnings': coalesce(warnings, [])}}) AS VARCHAR) AS context
+  FROM orders LEFT JOIN pd ON pd.doc_id = o_orderkey LEFT JOIN tt ON tt.doc_id = o_orderkey LEFT JOIN ms ON ms.doc_id = o_orderkey""")
+def context_dicts(t):
+    """The dictionary form of every document's context, with or without statements and logs."""
+    docs = t.orders.select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("title"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("summary"), F.col("o_custkey").alias("duplicates_removed"))
+    return documents.context_dict(docs, statements(t), _logs(t), "doc_id", "attempt", ["seq"], ["subject", "predicate", "object", "source_text"])
+
+
 @query("statements_of_texts")
 def statements_of_texts(t):
     """Whole texts to labeled statements: split, relate, link, label, topics."""

@@ -178,6 +178,18 @@ def edited_statements(t):
     return export.apply_edits(df.select("seq", "subject", "predicate", "object"), edits, "seq")
 
 
+@query("appended_statements", f"""WITH {ST} SELECT seq, subject, subject_type, CASE WHEN beam = 1 THEN 'edited' ELSE predicate END AS predicate, object FROM st WHERE beam <> 2
+  UNION ALL SELECT seq || '+', '', 'UNKNOWN', CASE WHEN object_type = 'UNKNOWN' THEN 'new' ELSE '' END, '' FROM st WHERE beam = 3""")
+def appended_statements(t):
+    """An edit list that rewrites, deletes and appends: an appended row is blank where the edit says nothing."""
+    df = statements(t)
+    k = F.col("beam")
+    edits = df.where(k.isin(1, 2, 3)).select(
+        F.when(k == 3, F.concat("seq", F.lit("+"))).otherwise(F.col("seq")).alias("seq"), F.when(k == 1, "update").when(k == 2, "delete").otherwise("append").alias("action"),
+        F.when(k == 1, "edited").when((k == 3) & (F.col("object_type") == "UNKNOWN"), "new").alias("new_predicate"))
+    return export.apply_edits(df.select("seq", "subject", "subject_type", "predicate", "object"), edits, "seq")
+
+
 @query("extraction_methods", "SELECT event_id, CASE event_type WHEN 'view' THEN 'hybrid' WHEN 'click' THEN 'model' WHEN 'error' THEN 'split' END AS method FROM events")
 def extraction_methods(t):
     raw = F.when(F.col("event_type") == "view", " Hybrid").when(F.col("event_type") == "click", "MODEL").when(F.col("event_type") == "error", "split").otherwise("other")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.vectors import embed
-from ..operators import candidates, locations
+from ..operators import candidates, countries, locations
 from ..sources import stores
 from .derived import sql_low, sql_strip, statements, statements_sql
 from .q_statements import STMT_SQL
@@ -140,6 +140,47 @@ def region_keys(t):
     return locations.assign_region(facts, "region", _dim(t)).select("p_partkey", "region_id", "source_number")
 
 
+def _countries(t):
+    """Nations with made-up codes: two letters of the key, the three-letter code adds an X."""
+    two = F.concat(F.chr((F.floor(F.col("n_nationkey") / 26) + 65).cast("long")), F.chr((F.col("n_nationkey") % 26 + 65).cast("long")))
+    return t.nation.select(two.alias("alpha_2"), F.concat(two, F.lit("X")).alias("alpha_3"), F.col("n_name").alias("country_name"))
+
+
+COUNTRY_SQL = "cc AS (SELECT n_name AS country_name, lower(n_name) AS cname, chr(65 + n_nationkey // 26) || chr(65 + n_nationkey % 26) AS alpha_2, chr(65 + n_nationkey // 26) || chr(65 + n_nationkey % 26) || 'X' AS alpha_3 FROM nation)"
+
+
+def country_sql(names: str) -> str:
+    """Every name of the table `names` against every country."""
+    return f"""{COUNTRY_SQL}, ck AS (SELECT DISTINCT name, {sql_low('name')} AS k FROM {names}),
+  cd AS (SELECT *, CASE WHEN k = lower(alpha_2) THEN -2 WHEN k = lower(alpha_3) THEN -1 ELSE levenshtein(k, cname) END AS d FROM ck, cc WHERE k <> ''),
+  cr AS (SELECT name, alpha_2, alpha_3, country_name, CAST(greatest(d, 0) AS INTEGER) AS distance FROM cd WHERE d <= least(2, length(k) // 4) QUALIFY row_number() OVER (PARTITION BY name ORDER BY d, cname, alpha_2) = 1)"""
+
+
+@query("country_codes", f"""WITH raw AS (SELECT CASE s_suppkey % 8 WHEN 0 THEN n_name WHEN 1 THEN '  ' || lower(n_name) || ' ' WHEN 2 THEN substr(n_name, 1, 3) || substr(n_name, 5) WHEN 3 THEN substr(n_name, 2, 1) || substr(n_name, 1, 1) || substr(n_name, 3)
+    WHEN 4 THEN replace(n_name, 'A', 'E') || 'X' WHEN 5 THEN chr(65 + n_nationkey // 26) || chr(65 + n_nationkey % 26) WHEN 6 THEN lower(chr(65 + n_nationkey // 26) || chr(65 + n_nationkey % 26) || 'X') ELSE s_name END AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+  {country_sql('raw')} SELECT ck.name, alpha_2, alpha_3, country_name, distance FROM ck LEFT JOIN cr ON cr.name = ck.name""")
+def country_codes(t):
+    """Suppliers' nations as written, in other case, with a letter missing, two swapped, two wrong, as codes, and names of no nation."""
+    known = _countries(t)
+    x = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(known, F.col("n_name") == F.col("country_name"))
+    n, k = F.col("n_name"), F.col("s_suppkey") % 8
+    rest = lambda at: F.substring(n, at, 100)
+    name = (F.when(k == 0, n).when(k == 1, F.concat(F.lit("  "), F.lower(n), F.lit(" "))).when(k == 2, F.concat(F.substring(n, 1, 3), rest(5)))
+            .when(k == 3, F.concat(F.substring(n, 2, 1), F.substring(n, 1, 1), rest(3))).when(k == 4, F.concat(F.replace(n, F.lit("A"), F.lit("E")), F.lit("X")))
+            .when(k == 5, F.col("alpha_2")).when(k == 6, F.lower("alpha_3")).otherwise(F.col("s_name")))
+    return countries.resolve_countries(x.select(name.alias("name")), "name", known)
+
+
+@query("location_codes", f"""WITH {NAMES_SQL}, {country_sql('ld')} SELECT ld.name, location_id, qid, source, alpha_2, alpha_3 FROM ld LEFT JOIN cr ON cr.name = ld.name""")
+def location_codes(t):
+    """The location dimension with the country codes of its names."""
+    names = _names(t)
+    codes = countries.resolve_countries(names, "name", _countries(t)).where(F.col("alpha_2").isNotNull())
+    codes = codes.select(F.lower("name").alias("name_normalized"), "alpha_2", "alpha_3").distinct()
+    dim = locations.location_dimension(names, locations.label_index(_labels(t), "label", "qid", "ord"), codes)
+    return dim.select("name", "location_id", "qid", "source", "alpha_2", "alpha_3")
+
+
 PAR_SQL = f"""{NAMES_SQL}, rec AS (SELECT p_partkey, ['Q' || (p_partkey % 50), 'bad', 'Q' || (p_partkey % 7)] AS parents, ['Q' || (p_partkey % 50), 'Q' || (p_partkey % 90)] AS countries FROM part),
   w AS (SELECT p_partkey, unnest(list_concat(parents, countries)) AS q, generate_subscripts(list_concat(parents, countries), 1) AS i FROM rec), f AS (SELECT p_partkey, i, location_id FROM w LEFT JOIN ld ON ld.qid = TRY_CAST(substr(q, 2) AS BIGINT) WHERE q <> 'bad'),
   g AS (SELECT p_partkey, location_id, min(i) AS i, count(*) AS n FROM f GROUP BY ALL)"""
