@@ -19,6 +19,7 @@ NEAR = 0.08  # a vector also stands in lists whose centroid is at most this much
 REACH = 0.22  # a query reads the lists whose centroid is at most this much farther than the nearest
 LEAST = 8  # and this many lists in any case
 LINKS, SHORTCUTS = 16, 4
+EPS = float(np.finfo(np.float64).eps)
 
 
 def lifted(x: np.ndarray, most: float) -> np.ndarray:
@@ -124,8 +125,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     found for each row of queries(vec_id, embedding), its own id excepted.
 
     Lists are fitted on at most SAMPLE vectors (by hash), every vector is put in one to COPIES lists, and a query reads
-    the lists that the ratio of distances leaves. A query that finds fewer than k this way then reads all lists. Null, zero and non-finite vectors take no part on either side; rows
-    with equal vectors all count, ties go to the smaller id; an empty table gives an empty result.
+    the lists that the ratio of distances leaves. A query that finds fewer than k this way then reads all lists. Null, zero and non-finite vectors take no part on either side,
+    nor do vectors of another length than most have; rows with equal vectors all count, ties go to the smaller id; of rows that share an id
+    the best one counts; an empty table gives an empty result.
     """
     rows = kept(valid(vectors, nonzero=True))
     schema = "query_id long, vec_id long, score double"
@@ -160,7 +162,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         rough = np.where(qids[:, None] == ids, -np.inf, q @ x.T)
         m = min(k, len(ids))
         kth = -np.partition(-rough, m - 1, axis=1)[:, m - 1: m]
-        slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(kth), kth, 0)))
+        # what a sum of so many products of these lengths may be off by, on both sides of the comparison
+        slack = 8 * (q.shape[1] + 2) * EPS * np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1).max()
         near = np.nonzero((rough >= kth - slack) & (rough > -np.inf))
         s = np.full_like(rough, -np.inf)
         s[near] = exact_scores(q, x, near)

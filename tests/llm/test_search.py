@@ -102,6 +102,27 @@ def test_repeated_ids(spark):
     assert [(r["vec_id"], r["score"]) for r in got] == [(3, 3 * 256 * 256), (2, 0), (2, 0)]
 
 
+def test_long_vectors_with_small_products(spark):
+    """Components near 1e6 and products near 0: the rounding of a matrix product is larger than the scores' differences."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 64)) * 1e6
+    x[1:] -= np.outer(x[1:] @ x[0] / (x[0] @ x[0]), x[0])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in postings.search(df, df.where("vec_id = 0"), 20).orderBy("rank").collect()]
+    s = np.zeros(400)
+    for j in range(64):
+        s += x[0, j] * x[:, j]
+    s[0] = -np.inf
+    want = np.lexsort((np.arange(400), -s))[:20]
+    assert got == [(int(i), float(s[i])) for i in want]
+
+
+def test_rows_that_share_an_id_give_their_best(spark):
+    df = spark.createDataFrame([(0, [1.0, 1.0]), (1, [1.0, 0.0]), (1, [3.0, 0.0]), (2, [2.0, 0.0])], "vec_id long, embedding array<double>")
+    got = postings.search(df, df.where("vec_id = 0"), 3).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 3.0), (2, 2.0)]
+
+
 @pytest.mark.parametrize("k", [1, 7])
 def test_graph_search_finds_centroids(k):
     rng = np.random.default_rng(k)
