@@ -143,6 +143,29 @@ def longest_candidate(df: DataFrame, keys: list[str], xml: str, order: list[str]
     return first_per_key(df, keys, [F.desc(F.length(xml)), *[F.asc(c) for c in order]])
 
 
+def deduplicated_xml(df: DataFrame, xml: str) -> DataFrame:
+    """df with each answer's repeated <stmt> elements left out: the first of equal subject, predicate and object (stripped, lower
+    case, absent as blank) stays, as it is written. An answer that does not parse or has another root is unchanged, and so is a
+    null. The comparison is within one answer, which the model's output length bounds."""
+    text = lambda c: tx.lower_strip(F.coalesce(c, F.lit("")))
+    given = df.withColumn("__s", xml_statements(F.col(xml))).withColumn("__r", F.regexp_extract_all(F.col(xml), F.lit(r"(?s)(<stmt\b[^>]*/>|<stmt\b.*?</stmt>)"), F.lit(1)))
+    keyed = given.withColumn("__k", F.transform("__s", lambda s: F.to_json(F.array(text(s["subject"]["_VALUE"]), text(s["predicate"]), text(s["object"]["_VALUE"])))))
+    kept = F.filter("__r", lambda _, i: F.array_position(F.col("__k"), F.get(F.col("__k"), i)) == i + 1)
+    whole = F.col("__s").isNotNull() & (F.size("__r") == F.size("__s"))
+    fresh = F.when(whole, F.concat(F.lit("<statements>"), F.array_join(kept, ""), F.lit("</statements>"))).otherwise(F.col(xml))
+    return keyed.withColumn(xml, fresh).drop("__s", "__r", "__k")
+
+
+def longest_raw_xml(df: DataFrame, keys: list[str], xml: str, attempt: str, expected: str, order: list[str]) -> DataFrame:
+    """The longest answer per key after its repeated statements are left out, among the attempts up to the first in which an answer
+    has `expected` statements; the first wins ties."""
+    single = deduplicated_xml(df, xml)
+    enough = single.where(F.regexp_count(xml, F.lit("<stmt>")) >= F.col(expected))
+    stop = enough.groupBy(*keys).agg(F.min(attempt).alias("stop_at"))
+    tried = single.join(stop, keys, "left").where(F.col("stop_at").isNull() | (F.col(attempt) <= F.col("stop_at"))).drop("stop_at")
+    return longest_candidate(tried, keys, xml, [attempt, *order])
+
+
 def sufficient_attempts(df: DataFrame, keys: list[str], attempt: str, expected: str) -> DataFrame:
     """Rows of the attempts up to the first whose own statement total reaches `expected`.
 

@@ -177,6 +177,35 @@ def longest_candidate(t):
     return candidates.longest_candidate(_with_xml(statements(t, "l_suppkey")), ["doc_id"], "xml", ["seq"]).select("doc_id", "xml")
 
 
+_OTHER = "<stmt><subject>nobody</subject><object>x</object><predicate>y</predicate></stmt>"
+_LOUD = f"replace({STMT_SQL}, subject, upper(subject))"
+ANSWERS_SQL = f"""x AS (SELECT doc_id, seq, attempt, CASE beam WHEN 0 THEN '<statements>' || {STMT_SQL} || '</statements>' WHEN 1 THEN '<statements>' || {STMT_SQL} || '{_OTHER}</statements>'
+    WHEN 2 THEN '<answers>' || {STMT_SQL} || {STMT_SQL} || '</answers>' ELSE '<statements>' || {STMT_SQL} || {_LOUD} END AS xml FROM st)"""
+
+
+def _answers(t, doc: str = "l_orderkey"):
+    """Answers that repeat their statement in upper case, with another one between, under another root, or unclosed."""
+    df = statements(t, doc)
+    one = candidates.statement_xml(*[F.col(c) for c in COLS[:6]])
+    loud, beam = F.replace(one, F.col("subject"), F.upper("subject")), F.col("beam")
+    xml = (F.when(beam == 0, F.concat(F.lit("<statements>"), one, loud, F.lit("</statements>"))).when(beam == 1, F.concat(F.lit("<statements>"), one, F.lit(f"{_OTHER}\n"), loud, F.lit("</statements>")))
+           .when(beam == 2, F.concat(F.lit("<answers>"), one, one, F.lit("</answers>"))).otherwise(F.concat(F.lit("<statements>"), one, loud)))
+    return df.select("doc_id", "seq", "attempt", xml.alias("xml"))
+
+
+@query("deduplicated_xml", f"WITH {ST}, {ANSWERS_SQL} SELECT doc_id, seq, xml FROM x")
+def deduplicated_xml(t):
+    """Answers without their repeated statements; those of another root or that do not parse stay as they are."""
+    return candidates.deduplicated_xml(_answers(t), "xml").select("doc_id", "seq", "xml")
+
+
+@query("longest_raw_xml", f"""WITH {ST_SUPP}, {ANSWERS_SQL}, n AS (SELECT *, (length(xml) - length(replace(xml, '<stmt>', ''))) // 6 AS n FROM x), s AS (SELECT doc_id, min(attempt) AS stop_at FROM n WHERE n >= 2 GROUP BY 1)
+  SELECT n.doc_id, xml FROM n LEFT JOIN s ON s.doc_id = n.doc_id WHERE stop_at IS NULL OR attempt <= stop_at QUALIFY row_number() OVER (PARTITION BY n.doc_id ORDER BY length(xml) DESC, attempt, seq) = 1""")
+def longest_raw_xml(t):
+    """The longest answer of a document once repeats are out, of the attempts up to the first with two statements."""
+    return candidates.longest_raw_xml(_answers(t, "l_suppkey").withColumn("expected", F.lit(2)), ["doc_id"], "xml", "attempt", "expected", ["seq"]).select("doc_id", "xml")
+
+
 @query("parse_candidate_xml", f"WITH {ST} SELECT doc_id, seq, CAST(i AS INTEGER) AS stmt_idx, subject, subject_type, predicate, object, object_type, source_text FROM st, (SELECT unnest([0, 1]) AS i) WHERE i = 0 OR beam > 0")
 def parse_candidate_xml(t):
     """Each answer holds the statement once or twice plus a statement without an object, which is skipped."""
