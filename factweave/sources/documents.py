@@ -57,9 +57,9 @@ def classify_fetched(df: DataFrame) -> DataFrame:
     return out.withColumn("error", F.coalesce("error", F.when(tx.is_captcha(html), "CAPTCHA or challenge page")))
 
 
-def load_html(df: DataFrame, html: str = "html") -> DataFrame:
+def load_html(df: DataFrame, html: str = "html", open_references: bool = True) -> DataFrame:
     """Web documents (one page each): title, text, author, metadata; error when there is no real text."""
-    out = extract_pages(df, html)
+    out = extract_pages(df, html, open_references)
     error = F.when(~meaningful(F.col("text")), "No meaningful content extracted from HTML")
     return out.withColumns({
         "source_type": F.lit("webpage"), "doc_title": F.coalesce("meta_title", tx.blank_to_null(F.col("title"))),

@@ -31,8 +31,8 @@ def routed(fetched: DataFrame) -> DataFrame:
     return out.withColumn("error", F.coalesce("error", F.when(tx.is_captcha(F.col("html")), CHALLENGE)))
 
 
-def _web(rows: DataFrame) -> DataFrame:
-    parts = extract_pages(rows.select("url", "final_url", "html"), "html")
+def _web(rows: DataFrame, open_references: bool) -> DataFrame:
+    parts = extract_pages(rows.select("url", "final_url", "html"), "html", open_references)
     return parts.select("url", "final_url", F.lit("webpage").alias("source_type"), F.coalesce("meta_title", tx.blank_to_null(F.col("title"))).alias("title"), "author", "published_date",
                         "description", F.array("text").alias("pages"), F.when(~meaningful(F.col("text")), NO_TEXT).alias("error"))
 
@@ -55,18 +55,19 @@ def _pdfs(rows: DataFrame, parser: Callable[[bytes], tuple[list[str], dict]]) ->
     return rows.select("url", "final_url", "content").mapInPandas(run, _PDF_SCHEMA)
 
 
-def load_fetched(fetched: DataFrame, pdf_parser: Callable[[bytes], tuple[list[str], dict]]) -> DataFrame:
+def load_fetched(fetched: DataFrame, pdf_parser: Callable[[bytes], tuple[list[str], dict]], open_references: bool = True) -> DataFrame:
     """(url, final_url, source_type, title, author, published_date, description, pages, error) of every fetched row, written once.
 
     A row with an error is a rejected one: what could not be fetched, challenge pages, web pages with less than 50
     characters of text, PDFs the parser cannot read. `documents` and `rejected` read the written rows. Columns beyond
     url, final_url, content, header and error are not read; repeated URLs stay repeated rows.
+    open_references: see `extract_pages`.
     """
     rows = routed(checkpointed(fetched.select("url", "final_url", "content", "header", "error")))
     fine = rows.where(F.col("error").isNull())
     failed = rows.where(F.col("error").isNotNull()).select("url", "final_url", *[F.lit(None).cast(t).alias(c) for c, t in (
         ("source_type", "string"), ("title", "string"), ("author", "string"), ("published_date", "string"), ("description", "string"), ("pages", "array<string>"))], "error")
-    done = _web(fine.where(F.col("route") == "html")).unionByName(_pdfs(fine.where(F.col("route") == "pdf"), pdf_parser)).unionByName(failed)
+    done = _web(fine.where(F.col("route") == "html"), open_references).unionByName(_pdfs(fine.where(F.col("route") == "pdf"), pdf_parser)).unionByName(failed)
     return checkpointed(done.select(*_COMMON))
 
 

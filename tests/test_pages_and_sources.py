@@ -36,6 +36,14 @@ def test_short_article_falls_back_to_body(spark):
     assert (r[4]["author"], r[4]["published_date"]) == ("By Ann", "2020")
 
 
+def test_references_without_semicolon(spark):
+    page = '<title>a&amp;b&amp</title><body><p id="&amp;&copy=1">x &lt y &#38; z && &unknown; &lt;</p><script>a && b</script></body>'
+    df = spark.createDataFrame([(page,)], "html string")
+    got = lambda **kw: html.extract_pages(df, **kw).select("meta_title", "text").first()
+    assert tuple(got()) == ("a&b&", "x < y & z && &unknown; <")
+    assert tuple(got(open_references=False)) == ("a&b&amp", "x &lt y & z && &unknown; <")
+
+
 def brute_cut(text):
     whole = text.strip()
     if not whole:
