@@ -13,6 +13,8 @@ from . import fixed
 # characters as Unicode-aware strip/split.
 WS = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
 NOT_WS = r"[^\s\p{Z}\x0b\x1c-\x1f\x{85}]"
+# the same class character by character
+WS_CHARS = "\t\n\x0b\f\r" + "".join(map(chr, [*range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def bind(value: Column, body) -> Column:
@@ -21,7 +23,8 @@ def bind(value: Column, body) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    """Without the white space at both ends; only the ends are looked at."""
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def collapse(c: Column) -> Column:
@@ -69,7 +72,7 @@ def wrap_page(c: Column) -> Column:
 def strip_page_tags(c: Column) -> Column:
     out = F.regexp_replace(c, r"(?i)\s*</?\s*page\s*>\s*", "")
     out = F.regexp_replace(out, r"[,\s]+PAGE(?=[\s)\].]|$)", "")
-    return F.when(out.rlike(r"(?i)^\s*NONE\s*$"), F.lit("")).otherwise(strip(out))
+    return strip(F.regexp_replace(out, r"(?i)^\s*NONE\s*$", ""))
 
 
 def parse_entity_type(c: Column, trim: bool = False) -> Column:

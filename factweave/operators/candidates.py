@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -106,16 +106,18 @@ def parse_statements_xml(df: DataFrame, xml: str, repair: bool = True) -> DataFr
     if repair:
         # the second parse is only evaluated where the first gave nothing
         parsed = F.coalesce(parsed, xml_statements(repair_xml(F.col(xml))["xml"]))
-    rows = df.select("*", F.posexplode(parsed).alias("stmt_idx", "s"))
-    out = rows.withColumns({
-        "subject": F.coalesce(tx.strip(F.col("s.subject._VALUE")), F.lit("")),
-        "subject_type": F.coalesce(tx.parse_entity_type(F.col("s.subject._type")), F.lit("UNKNOWN")),
-        "predicate": F.coalesce(tx.strip(F.col("s.predicate")), F.lit("")),
-        "object": F.coalesce(tx.strip(F.col("s.object._VALUE")), F.lit("")),
-        "object_type": F.coalesce(tx.parse_entity_type(F.col("s.object._type")), F.lit("UNKNOWN")),
-        "source_text": tx.blank_to_null(tx.strip(F.col("s.text"))),
-    }).drop("s")
-    return out.where((F.col("subject") != "") & (F.col("object") != ""))
+    return df.select("*", F.inline(statement_rows(parsed)))
+
+
+def statement_rows(parsed: Column) -> Column:
+    """The rows (stmt_idx, subject, ..., source_text) of parsed <stmt> elements that have a subject and an object, as an array:
+    what is wrong is left out before the rows are, so that no filter behind them parses an answer again."""
+    text = lambda c: F.coalesce(tx.strip(c), F.lit(""))
+    kind = lambda c: F.coalesce(tx.parse_entity_type(c), F.lit("UNKNOWN"))
+    rows = F.transform(parsed, lambda s, i: F.struct(
+        i.alias("stmt_idx"), text(s["subject"]["_VALUE"]).alias("subject"), kind(s["subject"]["_type"]).alias("subject_type"), text(s["predicate"]).alias("predicate"),
+        text(s["object"]["_VALUE"]).alias("object"), kind(s["object"]["_type"]).alias("object_type"), tx.blank_to_null(tx.strip(s["text"])).alias("source_text")))
+    return F.filter(rows, lambda r: (r["subject"] != "") & (r["object"] != ""))
 
 
 def statement_xml(subject: Column, subject_type: Column, predicate: Column, obj: Column, object_type: Column,
@@ -148,21 +150,28 @@ def deduplicated_xml(df: DataFrame, xml: str) -> DataFrame:
     case, absent as blank) stays, as it is written. An answer that does not parse or has another root is unchanged, and so is a
     null. The comparison is within one answer, which the model's output length bounds."""
     text = lambda c: tx.lower_strip(F.coalesce(c, F.lit("")))
-    given = df.withColumn("__s", xml_statements(F.col(xml))).withColumn("__r", F.regexp_extract_all(F.col(xml), F.lit(r"(?s)(<stmt\b[^>]*/>|<stmt\b.*?</stmt>)"), F.lit(1)))
-    keyed = given.withColumn("__k", F.transform("__s", lambda s: F.to_json(F.array(text(s["subject"]["_VALUE"]), text(s["predicate"]), text(s["object"]["_VALUE"])))))
-    kept = F.filter("__r", lambda _, i: F.array_position(F.col("__k"), F.get(F.col("__k"), i)) == i + 1)
-    whole = F.col("__s").isNotNull() & (F.size("__r") == F.size("__s"))
-    fresh = F.when(whole, F.concat(F.lit("<statements>"), F.array_join(kept, ""), F.lit("</statements>"))).otherwise(F.col(xml))
-    return keyed.withColumn(xml, fresh).drop("__s", "__r", "__k")
+    key = lambda s: F.struct(text(s["subject"]["_VALUE"]).alias("s"), text(s["predicate"]).alias("p"), text(s["object"]["_VALUE"]).alias("o"))
+    written = F.regexp_extract_all(F.col(xml), F.lit(r"(?s)(<stmt\b[^>]*/>|<stmt\b.*?</stmt>)"), F.lit(1))
+
+    def single(found: Column) -> Column:
+        kept = lambda keys: F.filter(found["r"], lambda _, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+        fresh = tx.bind(found["k"], lambda keys: F.concat(F.lit("<statements>"), F.array_join(kept(keys), ""), F.lit("</statements>")))
+        return F.when(F.size(found["r"]) == F.size(found["k"]), fresh).otherwise(F.col(xml))
+
+    # parsed once: the keys are null for an answer that does not parse, and then the answer stays
+    keys = F.transform(xml_statements(F.col(xml)), key)
+    whole = tx.bind(F.struct(keys.alias("k"), written.alias("r")), single)
+    return df.withColumn(xml, F.when(F.col(xml).isNotNull(), whole))
 
 
 def longest_raw_xml(df: DataFrame, keys: list[str], xml: str, attempt: str, expected: str, order: list[str]) -> DataFrame:
     """The longest answer per key after its repeated statements are left out, among the attempts up to the first in which an answer
     has `expected` statements; the first wins ties."""
-    single = deduplicated_xml(df, xml)
-    enough = single.where(F.regexp_count(xml, F.lit("<stmt>")) >= F.col(expected))
-    stop = enough.groupBy(*keys).agg(F.min(attempt).alias("stop_at"))
-    tried = single.join(stop, keys, "left").where(F.col("stop_at").isNull() | (F.col(attempt) <= F.col("stop_at"))).drop("stop_at")
+    single = deduplicated_xml(df, xml).withColumn("__enough", F.coalesce(F.regexp_count(xml, F.lit("<stmt>")) >= F.col(expected), F.lit(False)))
+    # the longest of an attempt's sufficient answers and of its others stand for the attempt: the answers are gone through once
+    best = longest_candidate(single, [*keys, attempt, "__enough"], xml, order)
+    stop = F.min(F.when(F.col("__enough"), F.col(attempt))).over(Window.partitionBy(*keys))
+    tried = best.withColumn("__stop", stop).where(F.col("__stop").isNull() | (F.col(attempt) <= F.col("__stop"))).drop("__stop", "__enough")
     return longest_candidate(tried, keys, xml, [attempt, *order])
 
 

@@ -155,10 +155,15 @@ def parse_statements_json(df: DataFrame, body: str) -> DataFrame:
 
     Rows without subject name or predicate are dropped; missing text becomes "S P O".
     """
-    is_list = F.col(body).startswith("[")
-    plain = F.when(is_list, F.from_json(body, f"array<struct<{_FLAT}>>")).otherwise(
-        F.from_json(F.get_json_object(body, "$.statements"), f"array<struct<{_FLAT}>>"))
-    labeled = F.when(~is_list, F.from_json(F.get_json_object(body, "$.labeled_statements"), f"array<struct<{_LABELED}>>"))
+    return df.select("*", F.inline(json_rows(F.col(body))))
+
+
+def json_rows(c: Column) -> Column:
+    """The rows of `parse_statements_json` as an array: each answer is parsed once, and no filter behind the rows parses it again."""
+    is_list = c.startswith("[")
+    plain = F.when(is_list, F.from_json(c, f"array<struct<{_FLAT}>>")).otherwise(
+        F.from_json(F.get_json_object(c, "$.statements"), f"array<struct<{_FLAT}>>"))
+    labeled = F.when(~is_list, F.from_json(F.get_json_object(c, "$.labeled_statements"), f"array<struct<{_LABELED}>>"))
 
     def name_of(e: Column) -> Column:
         return tx.strip_page_tags(F.coalesce(tx.blank_to_null(tx.strip(e["name"])), tx.blank_to_null(tx.strip(e["text"])), F.lit("")))
@@ -168,41 +173,45 @@ def parse_statements_json(df: DataFrame, body: str) -> DataFrame:
             tx.strip(c["name"]), c["qualified_entity"]["qualifiers"]["legal_name"], c["canonical_match"]["canonical_name"],
             c["qualified_entity"]["original_text"], fallback)], F.lit("")))
 
-    def row(s: Column, subject: Column, obj: Column, s_text: Column, o_text: Column, conf: Column) -> Column:
+    def row(i: Column, s: Column, subject: Column, obj: Column, s_text: Column, o_text: Column, conf: Column) -> Column:
         return F.struct(
-            subject.alias("subject"), tx.parse_entity_type(F.coalesce(s["subject"]["type"], F.lit("")), True).alias("subject_type"),
+            i.alias("stmt_idx"), subject.alias("subject"), tx.parse_entity_type(F.coalesce(s["subject"]["type"], F.lit("")), True).alias("subject_type"),
             F.coalesce(s["predicate"], F.lit("")).alias("predicate"), obj.alias("object"),
             tx.parse_entity_type(F.coalesce(s["object"]["type"], F.lit("")), True).alias("object_type"),
             F.coalesce(tx.blank_to_null(s["source_text"]), tx.strip(F.concat_ws(
                 " ", F.coalesce(s_text, F.lit("")), F.coalesce(s["predicate"], F.lit("")), F.coalesce(o_text, F.lit(""))))).alias("text"),
             conf.alias("confidence"), s["predicate_category"].alias("predicate_category"))
 
-    flat = lambda s, conf: row(s, name_of(s["subject"]), name_of(s["object"]), s["subject"]["text"], s["object"]["text"], conf)
+    flat = lambda i, s, conf: row(i, s, name_of(s["subject"]), name_of(s["object"]), s["subject"]["text"], s["object"]["text"], conf)
 
-    def from_labeled(x: Column) -> Column:
+    def from_labeled(x: Column, i: Column) -> Column:
         st = x["statement"]
-        s_name, o_name = canon_name(x["subject_canonical"], st["subject"]["text"]), canon_name(x["object_canonical"], st["object"]["text"])
-        nested = row(st, s_name, o_name, s_name, o_name, st["confidence_score"])
-        return F.when(st.isNotNull(), nested).otherwise(flat(x, x["labels"]["confidence"].try_cast("double")))
+        names = F.struct(canon_name(x["subject_canonical"], st["subject"]["text"]).alias("s"), canon_name(x["object_canonical"], st["object"]["text"]).alias("o"))
+        nested = tx.bind(names, lambda n: row(i, st, n["s"], n["o"], n["s"], n["o"], st["confidence_score"]))
+        return F.when(st.isNotNull(), nested).otherwise(flat(i, x, x["labels"]["confidence"].try_cast("double")))
 
-    rows = F.when(F.size(labeled) > 0, F.transform(labeled, from_labeled)).otherwise(
-        F.transform(plain, lambda s: flat(s, s["confidence_score"])))
-    out = df.select("*", F.posexplode(rows).alias("stmt_idx", "s")).select(*df.columns, "stmt_idx", "s.*")
-    return out.where((F.col("subject") != "") & (F.col("predicate") != ""))
+    rows = tx.bind(labeled, lambda found: F.when(F.size(found) > 0, F.transform(found, from_labeled)).otherwise(
+        F.transform(plain, lambda s, i: flat(i, s, s["confidence_score"]))))
+    return F.filter(rows, lambda r: (r["subject"] != "") & (r["predicate"] != ""))
 
 
 def parse_statements_regex(df: DataFrame, xml: str) -> DataFrame:
     """Fallback for broken XML: <stmt> blocks by regex, fields by regex; needs subject and predicate."""
-    blocks = F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<stmt>(.*?)</stmt>"), F.lit(1))
-    rows = df.select("*", F.posexplode(blocks).alias("stmt_idx", "b"))
-    pick = lambda tag: tx.strip(F.regexp_extract("b", rf"(?s)<{tag}>(.*?)</{tag}>", 1))
-    entity = lambda tag, g: F.regexp_extract("b", rf'(?s)<{tag}(?:\s+type="([^"]*)")?>(.*?)</{tag}>', g)
-    out = rows.withColumns({
-        "subject": tx.strip(entity("subject", 2)), "subject_type": tx.parse_entity_type(entity("subject", 1), True),
-        "object": tx.strip(entity("object", 2)), "object_type": tx.parse_entity_type(entity("object", 1), True),
-        "predicate": pick("predicate"), "text": pick("text"),
-    }).drop("b").where((F.col("subject") != "") & (F.col("predicate") != ""))
-    return out.withColumn("text", F.coalesce(tx.blank_to_null(F.col("text")), tx.strip(F.concat_ws(" ", "subject", "predicate", "object"))))
+    return df.select("*", F.inline(regex_rows(F.col(xml))))
+
+
+def regex_rows(c: Column) -> Column:
+    """The rows of `parse_statements_regex` as an array."""
+    blocks = F.regexp_extract_all(c, F.lit(r"(?s)<stmt>(.*?)</stmt>"), F.lit(1))
+    pick = lambda b, tag: tx.strip(F.regexp_extract(b, rf"(?s)<{tag}>(.*?)</{tag}>", 1))
+    entity = lambda b, tag, g: F.regexp_extract(b, rf'(?s)<{tag}(?:\s+type="([^"]*)")?>(.*?)</{tag}>', g)
+    rows = F.transform(blocks, lambda b, i: F.struct(
+        i.alias("stmt_idx"), tx.strip(entity(b, "subject", 2)).alias("subject"), tx.parse_entity_type(entity(b, "subject", 1), True).alias("subject_type"),
+        tx.strip(entity(b, "object", 2)).alias("object"), tx.parse_entity_type(entity(b, "object", 1), True).alias("object_type"),
+        pick(b, "predicate").alias("predicate"), pick(b, "text").alias("text")))
+    spoken = lambda r: F.coalesce(tx.blank_to_null(r["text"]), tx.strip(F.concat_ws(" ", r["subject"], r["predicate"], r["object"])))
+    kept = F.filter(rows, lambda r: (r["subject"] != "") & (r["predicate"] != ""))
+    return F.transform(kept, lambda r: r.withField("text", spoken(r)))
 
 
 def coerce_qualifiers(raw: Column) -> Column:
@@ -244,14 +253,16 @@ def read_answers(df: DataFrame, body: str) -> DataFrame:
     """One row per statement of an answer in any form, with `form`: JSON if it looks like JSON and parses, else well-formed
     XML, else what regular expressions find in it. Each form is only tried on the answers that failed before it; null and
     blank answers give nothing."""
-    given = df.withColumn("__b", tx.strip(F.col(body))).where(F.col("__b") != "")
-    tagged = given.withColumn("__form", F.when(F.col("__b").rlike(r"^[\[{]") & F.try_parse_json("__b").isNotNull(), "json").when(candidates.xml_statements(F.col("__b")).isNotNull(), "xml").otherwise("regex"))
-    part = lambda form: tagged.where(F.col("__form") == form)
-    xml = candidates.parse_statements_xml(part("xml"), "__b", repair=False)
-    xml = xml.withColumn("text", F.coalesce("source_text", tx.strip(F.concat_ws(" ", "subject", "predicate", "object")))).where(F.col("predicate") != "")
-    found = [parse_statements_json(part("json"), "__b"), xml, parse_statements_regex(part("regex"), "__b")]
-    rows = [r.select(*df.columns, F.col("__form").alias("form"), *ANSWER_FIELDS) for r in found]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    def read(b: Column) -> Column:
+        fields = lambda form, text: lambda r: F.struct(F.lit(form).alias("form"), *[(text(r) if n == "text" else r[n]).alias(n) for n in ANSWER_FIELDS])
+        given, spoken = lambda r: r["text"], lambda r: F.coalesce(r["source_text"], tx.strip(F.concat_ws(" ", r["subject"], r["predicate"], r["object"])))
+        parts = lambda found: F.transform(F.filter(candidates.statement_rows(found), lambda r: r["predicate"] != ""), fields("xml", spoken))
+        other = tx.bind(candidates.xml_statements(b), lambda found: F.when(found.isNotNull(), parts(found)).otherwise(F.transform(regex_rows(b), fields("regex", given))))
+        is_json = b.rlike(r"^[\[{]") & F.try_parse_json(b).isNotNull()
+        return F.when(b != "", F.when(is_json, F.transform(json_rows(b), fields("json", given))).otherwise(other))
+
+    # one pass over the answers, each parsed once in each form that it is tried in
+    return df.select("*", F.inline(tx.bind(tx.strip(F.col(body)), read)))
 
 
 def extraction_method(c: Column) -> Column:

@@ -1,4 +1,4 @@
-from factweave.operators import candidates
+from factweave.operators import candidates, export
 
 A = "<stmt><subject type=\"ORG\">Acme </subject><object>Bolt</object><predicate>Sells</predicate><text>t1</text></stmt>"
 A2 = "<stmt><object>bolt</object><subject> ACME</subject><predicate>sells</predicate><text>longer text</text></stmt>"
@@ -29,3 +29,27 @@ def test_longest_is_chosen_after_repeats_are_out(spark):
     df = spark.createDataFrame(rows, "k int, attempt int, n int, xml string, expected int")
     got = {r["k"]: r["xml"] for r in candidates.longest_raw_xml(df, ["k"], "xml", "attempt", "expected", ["n"]).collect()}
     assert got == {1: both, 2: f"<statements>{A}</statements>"}
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_answers_are_gone_through_and_parsed_once(spark):
+    body = f"<statements>{A}</statements>"
+    df = spark.range(4).selectExpr("id", f"CASE WHEN id < 3 THEN '{body}' END AS body", "1 AS attempt", "2 AS expected")
+    read, best = export.read_answers(df, "body"), candidates.longest_raw_xml(df, ["id"], "body", "attempt", "expected", [])
+    for out in (read, best, candidates.parse_statements_xml(df, "body", repair=False)):
+        assert plan(out).count("Range (") == 1 and plan(out).count("from_xml(") == 1, plan(out)
+    assert [(r["id"], r["form"], r["subject"]) for r in read.orderBy("id").collect()] == [(i, "xml", "Acme") for i in range(3)]
+    js = plan(export.parse_statements_json(spark.range(2).selectExpr("concat('[', id) AS body"), "body"))
+    assert js.count("labeled_statements, StringType") <= 1 and js.count("$.labeled_statements") == 1
+
+
+def test_an_attempt_without_enough_is_followed_by_the_next(spark):
+    few, many = f"<statements>{A}</statements>", f"<statements>{A}{B}</statements>"
+    long_few = f"<statements>{A.replace('t1', 'a text that is longer than two statements are together, ' * 3)}</statements>"
+    rows = [(1, 0, 0, few), (1, 1, 0, long_few), (1, 1, 1, many), (1, 2, 0, long_few.replace("than", "than all")), (2, 0, 0, None), (2, 3, 0, few)]
+    df = spark.createDataFrame(rows, "k int, attempt int, n int, xml string").selectExpr("*", "2 AS expected")
+    got = {r["k"]: r["xml"] for r in candidates.longest_raw_xml(df, ["k"], "xml", "attempt", "expected", ["n"]).collect()}
+    assert got == {1: long_few, 2: few}

@@ -12,6 +12,17 @@ def one(spark, col, **values):
     return spark.createDataFrame([tuple(values.values())], ", ".join(f"{n} string" for n in names)).select(col.alias("x")).first()["x"]
 
 
+def test_strip_takes_the_white_space_class_off_the_ends(spark):
+    every = [chr(i) for i in range(0x3100) if re.match(r"[\s\x1c-\x1f\x85]", chr(i))]
+    texts = [f"{c}a{c}b{c}{c}" for c in every] + ["", " \n", "\u180ea", "\u200b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    by_class = F.regexp_replace("t", f"^{tx.WS}+|{tx.WS}+$", "")
+    rows = df.select("t", tx.strip(F.col("t")).alias("got"), by_class.alias("want")).collect()
+    assert [(r["t"], r["got"]) for r in rows] == [(r["t"], r["want"]) for r in rows]
+    assert [r["got"] for r in rows[:len(every)]] == [t.strip() for t in texts[:len(every)]]
+    assert "regexp_replace" not in df.select(tx.strip(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sentence_count_matches_the_plain_rule(spark):
     texts = ["", "One.", "Short. This one is long enough! And so is this other one?", "<b>tagged words here</b>. x", "no marks at all but long",
              "  spaced   out   text  .      . another long piece", "twelve chars."]
