@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
-from .containment import containment_join
 from .dedup import exact_dedup
 
+PER_ROW = 4_096  # source texts of a document that meet its sentences in one row
+FEW = 64  # sentences that are sought one by one
+
 
 def text_documents(df: DataFrame, doc: str, text: str) -> DataFrame:
     """Document records of plain texts: source_type is always "text"."""
@@ -40,12 +47,42 @@ def cross_chunk_dedup(sentences: DataFrame, doc: str, text: str, order: list[Col
     return exact_dedup(sentences, [doc], [text], order)
 
 
+def first_contained(sources: list[str], sentences: list[str]) -> list[int | None]:
+    """For each source the smallest index of a sentence that it contains. Where the sentences are few they are tried in turn; else
+    one pass over a source finds all of them."""
+    if len(sentences) <= FEW:
+        return [next((i for i, s in enumerate(sentences) if s in source), None) for source in sources]
+    automaton = ahocorasick.Automaton()
+    for i in range(len(sentences) - 1, -1, -1):  # of equal sentences the first one stays
+        automaton.add_word(sentences[i], i)
+    automaton.make_automaton()
+    return [min((i for _, i in automaton.iter(source)), default=None) for source in sources]
+
+
 def provenance(statements: DataFrame, sentences: DataFrame, doc: str, source: str, sentence: str, order: str) -> DataFrame:
-    """First sentence of the document contained in each distinct source text (doc, source, order, sentence)."""
-    pairs = containment_join(sentences, statements, sentence, source, on=(doc,))
-    first = sentences.groupBy(doc, sentence).agg(F.min(order).alias(order))
-    return pairs.join(first, [doc, sentence]).groupBy(doc, source).agg(
-        F.min(F.struct(order, sentence)).alias("m")).select(doc, source, "m.*")
+    """First sentence of the document contained in each distinct source text (doc, source, order, sentence).
+
+    A document's sentences meet its source texts once (PER_ROW of these at a time, so that a document with many is several
+    rows): nothing is indexed or moved for each character of a text.
+    """
+    first = sentences.where(F.length(sentence) > 0).groupBy(doc, sentence).agg(F.min(order).alias(order))
+    known = first.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(order, sentence))).alias("__known"))
+    given = statements.where(F.length(source) > 0).select(doc, source).distinct()
+    many = given.groupBy(doc).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > PER_ROW).select(doc, F.ceil(F.col("__n") / PER_ROW).alias("__rows"))
+    cut = given.join(many, doc, "left").withColumn("__slot", F.pmod(F.xxhash64(source), F.coalesce("__rows", F.lit(1))))
+    work = cut.groupBy(doc, "__slot").agg(F.collect_list(source).alias("__given")).join(known, doc).select(doc, "__given", "__known")
+    schema = T.StructType([statements.schema[doc], statements.schema[source], sentences.schema[order], sentences.schema[sentence]])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                texts, known = batch.column(1)[row].values, batch.column(2)[row].values
+                at = pa.array(first_contained(texts.to_pylist(), known.field(1).to_pylist()), pa.int64())
+                hit, at = at.is_valid(), at.drop_null()
+                owner = pa.array([row] * len(at), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), texts.filter(hit), known.field(0).take(at), known.field(1).take(at)], names=schema.names)
+
+    return work.mapInArrow(find, schema)
 
 
 def stage_timings(events: DataFrame, keys: list[str], stage: str, seconds: str) -> DataFrame:

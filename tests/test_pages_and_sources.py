@@ -172,3 +172,22 @@ def test_training_lines_round_trip(spark, tmp_path):
     stores.write_training(rows, str(tmp_path / "out"))
     again = stores.read_training(spark, str(tmp_path / "out"))
     assert sorted((r["input_text"], r["num_statements"]) for r in again.collect()) == [("a\nb", 3), ("é", 0)]
+
+
+def test_provenance_is_the_first_sentence_contained(spark):
+    from factweave.operators import documents
+    rng = random.Random(5)
+    texts = lambda n: ["".join(rng.choice("ab ") for _ in range(rng.randint(1, 6))) for _ in range(n)]
+    sentences = [(d, i, x) for d, n in ((1, 20), (2, 300), (3, 2)) for i, x in enumerate(texts(n))] + [(2, 900, ""), (None, 0, "a")]
+    sources = [(d, x * 2) for d in (1, 2, 4) for x in texts(200)] + [(2, ""), (None, "a"), (2, None)]
+    want = {}
+    for d, source in sources:
+        hits = [(i, x) for k, i, x in sentences if k == d and d is not None and source and x and x in source]
+        if hits:
+            want[d, source] = min(hits)
+    st, s = spark.createDataFrame(sources, "d int, source string"), spark.createDataFrame(sentences, "d int, i int, x string")
+    out = documents.provenance(st, s, "d", "source", "x", "i")
+    assert sorted((r["d"], r["source"], r["i"], r["x"]) for r in out.collect()) == sorted((*k, *v) for k, v in want.items())
+    # a text is moved as such: nothing is exploded into its characters' grams, and no pairs are shuffled
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert documents.first_contained(["xay", "zz"], ["b", "a"]) == [1, None] == documents.first_contained(["xay", "zz"], ["b", "a", *map(str, range(100))])
