@@ -88,6 +88,24 @@ def test_similarity_join_within_keys(spark, monkeypatch):
     assert got == brute(q, r, 4, 0.2, qk, rk)
 
 
+@pytest.mark.parametrize("k", [3, None])
+def test_similarity_join_moves_copies_and_visits_once(spark, monkeypatch, k):
+    """Copies of a vector are asked and kept once; ties between copies and between other equal similarities go to the smaller id."""
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(similarity, "BLOCK_QUERIES", 8)
+    monkeypatch.setattr(similarity, "LEAF", 10)
+    monkeypatch.setattr(similarity, "VISIT_ROWS", 7)
+    q, r = np.repeat(vectors(40, seed=6), 5, axis=0), np.tile(vectors(60, seed=7), (8, 1))
+    placed = []
+    fit = similarity.fit_tree
+    monkeypatch.setattr(similarity, "fit_tree", lambda refs, *a: placed.append(refs.count()) or fit(refs, *a))
+    qd = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "q long, v array<float>")
+    rd = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r)], "r long, w array<float>")
+    got = {(x["q"], x["r"]) for x in similarity.similarity_join(qd, rd, "q", "v", "r", "w", k, 0.2).collect()}
+    assert got == brute(q, r, k, 0.2)
+    assert placed == [59 if k else 480]  # two of the 60 are equal already
+
+
 def test_containment_join_equals_brute_force(spark):
     rnd = random.Random(5)
     word = lambda n: "".join(rnd.choice("abcé ") for _ in range(n))
