@@ -106,6 +106,12 @@ def test_similarity_join_moves_copies_and_visits_once(spark, monkeypatch, k):
     assert placed == [59 if k else 480]  # two of the 60 are equal already
 
 
+def test_similarity_join_keeps_a_null_id(spark):
+    df = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "i long, v array<double>")
+    got = similarity.similarity_join(df.withColumnsRenamed({"i": "q"}), df.withColumnsRenamed({"i": "r", "v": "w"}), "q", "v", "r", "w", 2, 0.5)
+    assert {(x["q"], x["r"], x["rank"]) for x in got.collect()} == {(None, None, 1), (None, 1, 2), (1, None, 1), (1, 1, 2), (2, 2, 1)}
+
+
 def test_containment_join_equals_brute_force(spark):
     rnd = random.Random(5)
     word = lambda n: "".join(rnd.choice("abcé ") for _ in range(n))
