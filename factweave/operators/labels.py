@@ -125,15 +125,14 @@ def topic_classifier(embed, labels: list[tuple[str, str]], vectors, top_categori
         v = embed(texts)
         size = np.linalg.norm(v, axis=1, keepdims=True)
         sims = np.divide(v, size, out=np.zeros_like(v), where=size > 0) @ m.T
-        order = np.argsort(-np.round(sims @ member, 9), axis=1, kind="stable")[:, :top_categories]
+        rank = np.argsort(np.argsort(-np.round(sims @ member, 9), axis=1, kind="stable"), axis=1)[:, cat_of]
         scores = 1 / (1 + np.exp(-25 * ((sims + 1) / 2 - 0.65)))
-        out = []
-        for i in range(len(v)):
-            hits = [(labels[j], scores[i, j], list(order[i]).index(cat_of[j])) for j in range(len(labels))
-                    if cat_of[j] in order[i] and scores[i, j] >= min_score]
-            hits.sort(key=lambda h: (-round(h[1], 9), h[2]))
-            out.append([{"category": c, "label": lab, "confidence": round(float(s), 4)} for (c, lab), s, _ in hits])
-        return pd.Series(out)
+        row, at = np.nonzero((rank < top_categories) & (scores >= min_score))
+        score = scores[row, at]
+        best = np.lexsort((rank[row, at], -np.round(score, 9), row))  # stable: then in the labels' order
+        hits = [{"category": labels[j][0], "label": labels[j][1], "confidence": round(c, 4)} for j, c in zip(at[best].tolist(), score[best].tolist())]
+        ends = np.cumsum(np.bincount(row, minlength=len(v)))
+        return pd.Series([hits[a:b] for a, b in zip([0, *ends[:-1]], ends)], dtype=object)
 
     return run
 

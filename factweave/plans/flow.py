@@ -84,7 +84,7 @@ def classify(statements: DataFrame, cfg: FlowConfig) -> DataFrame:
     """Stage 5: topics, computed once per distinct source text."""
     names = [f"{c} {lab}" for c, lab in fixed.TAXONOMY_TABLE]
     run = labels.topic_classifier(gram_counts, fixed.TAXONOMY_TABLE, gram_counts(pd.Series(names)), min_score=cfg.topic_min)
-    once = statements.select("source_text").distinct().withColumn("topics", run(F.col("source_text")))
+    once = checkpointed(statements.select("source_text").distinct().withColumn("topics", run(F.col("source_text"))))
     return statements.join(once, "source_text", "left")
 
 

@@ -93,6 +93,25 @@ def test_relation_json_shapes(spark):
         assert (r["head"], r["tail"], r["confidence"]) == want, j
 
 
+def test_relation_json_is_built_once(spark):
+    df = spark.range(1).select(F.concat_ws("#", F.lit("["), F.col("id")).alias("j")).select(relations.parse_relation(F.col("j")).alias("r")).select("r.head", "r.tail", "r.confidence")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("concat_ws") == 1
+
+
+def test_a_text_is_classified_once_below_a_condition(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<string>")
+    def label(texts):
+        seen.add(len(texts))
+        return texts.map(lambda t: [t])
+
+    df = spark.range(0, 400, 1, 4).select("id", (F.col("id") % 4).cast("string").alias("t"))
+    out = relations.classify_distinct(df, "t", lambda c: F.struct(label(c).alias("label"), F.lit(1.0).alias("confidence")))
+    assert out.select("id", F.explode("label")).count() == 400
+    assert seen.value == 4
+
+
 def test_sentence_span_covers_the_sentence(spark):
     text = "First sentence. Apple announced iPhone. Last sentence."
     from factweave.operators.scoring import evidence_span
