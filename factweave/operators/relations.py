@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
+from ..sources.checkpoints import checkpointed
 from .ranking import top_per_key
 
 MIN_CONFIDENCE = 0.75
@@ -41,13 +42,12 @@ def accepted_relations(df: DataFrame, keys: list[str] | None = None, order: list
     return kept if keys is None else top_per_key(kept, keys, [F.desc("confidence"), *order], k, "rank")
 
 
-def _num(j: Column, *paths: str) -> Column:
-    """First non-zero number at the paths."""
-    return F.coalesce(*[F.nullif(F.get_json_object(j, p).try_cast("double"), F.lit(0.0)) for p in paths])
+def _num(*numbers: Column) -> Column:
+    """First non-zero one of numbers in JSON text."""
+    return F.coalesce(*[F.nullif(n.try_cast("double"), F.lit(0.0)) for n in numbers])
 
 
-def _txt(j: Column, *paths: str) -> Column:
-    return F.coalesce(*[tx.blank_to_null(F.get_json_object(j, p)) for p in paths])
+NAMES = (("head", "source", "subject"), ("tail", "target", "object"))
 
 
 def parse_relation(j: Column) -> Column:
@@ -56,32 +56,43 @@ def parse_relation(j: Column) -> Column:
     [head, tail], [head, tail, score], or an object with head/source/subject, tail/target/object
     and score/confidence/prob on the relation or on its ends. Confidence: the relation's own, else
     the smaller of the ends, else either end, else 0.5; zero counts as absent.
+
+    The text is bound once, its members are read in one go, and those of an end only where the end is an object.
     """
-    # array forms: an end is a text or an object with a text
-    is_list = j.startswith("[")
-    end = lambda i: F.coalesce(F.get_json_object(j, f"$[{i}].text"), F.get_json_object(j, f"$[{i}]"))
-    list_conf = lambda i: F.coalesce(
-        F.get_json_object(j, f"$[{i}].score").try_cast("double"),
-        F.get_json_object(j, f"$[{i}].confidence").try_cast("double"), F.lit(0.5))
-    scored = F.get_json_object(j, "$[2]").isNotNull()
-    pair_conf = F.when(scored, F.coalesce(_num(j, "$[2]"), F.lit(0.5))).otherwise(F.least(list_conf(0), list_conf(1)))
-    # object forms
-    names = (("head", "source", "subject"), ("tail", "target", "object"))
-
-    def side(keys):
-        text_at = [f"$.{k}.{f}" for k in keys for f in ("text", "name", "span")]
-        plain = [F.when(~F.get_json_object(j, f"$.{k}").rlike(r"^[{\[]"), F.get_json_object(j, f"$.{k}")) for k in keys]
-        conf_at = [f"$.{k}.{f}" for k in keys for f in ("score", "confidence", "prob")]
-        return F.coalesce(_txt(j, *text_at), *[tx.blank_to_null(p) for p in plain], F.lit("")), _num(j, *conf_at)
-
-    (h_txt, h_conf), (t_txt, t_conf) = side(names[0]), side(names[1])
-    both = F.when(h_conf.isNotNull() & t_conf.isNotNull(), F.least(h_conf, t_conf))
-    conf = F.coalesce(_num(j, "$.score", "$.confidence", "$.prob"), both, h_conf, t_conf, F.lit(0.5))
-    return F.struct(
-        F.when(is_list, end(0)).otherwise(h_txt).alias("head"),
-        F.when(is_list, end(1)).otherwise(t_txt).alias("tail"),
-        F.when(is_list, pair_conf).otherwise(conf).alias("confidence"),
-    )
+    return tx.bind(j, lambda text: F.when(text.startswith("["), _listed(text)).otherwise(_named(text)))
+
+
+def _listed(j: Column) -> Column:
+    """An end is a text or an object with a text; a null in the list is the text "null"."""
+    def parsed(items: Column) -> Column:
+        item = lambda i: F.when(F.size(items) > i, F.coalesce(F.get(items, F.lit(i)), F.lit("null")))
+        inside = lambda i, f: F.when(item(i).startswith("{"), F.get_json_object(j, f"$[{i}].{f}"))
+        end = lambda i: F.coalesce(inside(i, "text"), item(i))
+        own = lambda i: F.coalesce(inside(i, "score").try_cast("double"), inside(i, "confidence").try_cast("double"), F.lit(0.5))
+        conf = F.when(F.size(items) > 2, F.coalesce(_num(item(2)), F.lit(0.5))).otherwise(F.least(own(0), own(1)))
+        return F.struct(end(0).alias("head"), end(1).alias("tail"), conf.alias("confidence"))
+
+    return tx.bind(F.from_json(j, "array<string>"), parsed)
+
+
+def _named(j: Column) -> Column:
+    texts, numbers = ("text", "name", "span"), ("score", "confidence", "prob")
+    fields = ", ".join(f"{f}: string" for f in (*texts, *numbers))
+
+    def side(top: Column, keys: tuple[str, ...]) -> Column:
+        # an end that is an object is read from the whole text, as a text may look like an object too
+        objects = F.struct(*[F.when(top[k].startswith("{"), F.from_json(j, f"{k} struct<{fields}>")[k]).alias(k) for k in keys])
+        plain = [tx.blank_to_null(F.when(~top[k].rlike(r"^[{\[]"), top[k])) for k in keys]
+        return tx.bind(objects, lambda o: F.struct(
+            F.coalesce(*[tx.blank_to_null(o[k][f]) for k in keys for f in texts], *plain, F.lit("")).alias("text"), _num(*[o[k][f] for k in keys for f in numbers]).alias("confidence")))
+
+    def parsed(top: Column) -> Column:
+        # least skips what is null: the smaller of both, else the one there is
+        conf = lambda ends: F.coalesce(_num(*[top[f] for f in numbers]), F.least(ends["h"]["confidence"], ends["t"]["confidence"]), F.lit(0.5))
+        both = F.struct(side(top, NAMES[0]).alias("h"), side(top, NAMES[1]).alias("t"))
+        return tx.bind(both, lambda ends: F.struct(ends["h"]["text"].alias("head"), ends["t"]["text"].alias("tail"), conf(ends).alias("confidence")))
+
+    return tx.bind(F.from_json(j, ", ".join(f"{k} string" for k in (*NAMES[0], *NAMES[1], *numbers))), parsed)
 
 
 def infer_entity_type(text: Column, entities: Column) -> Column:
@@ -99,8 +110,12 @@ def predicate_category(predicate: Column, table: list[tuple[str, str, str]] = fi
 
 
 def classify_distinct(df: DataFrame, text: str, classifier, default_confidence: float = 0.85) -> DataFrame:
-    """Runs a text classifier (Column -> struct<label,confidence>) once per distinct text and joins back."""
-    once = df.select(text).distinct().withColumn("__c", classifier(F.col(text)))
+    """Runs a text classifier (Column -> struct<label,confidence>) once per distinct text and joins back.
+
+    The answers are kept in the checkpoint folder: a condition on them would else be moved below the distinct, and the
+    classifier with it, to every row.
+    """
+    once = checkpointed(df.select(text).distinct().withColumn("__c", classifier(F.col(text))))
     once = once.select(text, F.col("__c.label").alias("label"), F.coalesce(F.col("__c.confidence"), F.lit(default_confidence)).alias("label_confidence"))
     return df.join(once, text, "left")
 
