@@ -158,6 +158,27 @@ def test_spans_and_coverage_equal_brute_force(spark, monkeypatch, seed):
     assert set(cover) == {(d, b) for d, b, _ in want if text[d] is not None}
 
 
+def test_short_documents_have_short_index_rows(spark):
+    texts = ["", "a b", "x" * 63, "y " * 32, "z" * 100, " " * 128 + "é", "w" * 256]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
+    rows = evidence.content_index(df, "doc", "text", 128).collect()
+    assert {(r["doc"], r["bucket"]): len(r["words"]) for r in rows} == {
+        (0, 0): 1, (1, 0): 1, (2, 0): 1, (3, 0): 2, (4, 0): 2, (5, 0): 2, (5, 1): 1, (6, 0): 2, (6, 1): 2, (6, 2): 1}
+    for r in rows:
+        for at in range(min(128, len(texts[r["doc"]]) - 128 * r["bucket"]) + (r["bucket"] == len(texts[r["doc"]]) // 128)):
+            bits = r["words"][at // 64] & ((1 << at % 64) - 1)
+            assert r["base"] + r["upto"][at // 64] + bits.bit_count() == len(texts[r["doc"]][: 128 * r["bucket"] + at].replace(" ", ""))
+
+
+def test_a_text_is_embedded_once_a_chunk(monkeypatch):
+    from factweave.functions import vectors
+    seen = []
+    monkeypatch.setattr(vectors, "gram_counts", lambda texts: seen.append(len(texts)) or gram_counts(texts))
+    a, b = pd.Series(["blue bolt", "red ring", None, ""] * 1000), pd.Series(["blue ring"] * 4000)
+    assert (vectors.pair_cosine(a, b) == row_cosine(gram_counts(a), gram_counts(b))).all()
+    assert sum(seen) == 2 * (4 + 1)
+
+
 def test_rescoring_only_where_no_confidence_is_given(spark):
     rows = [(1, 1, "A", "ORG", "buys", "B", "ORG", "A buys B", 0.0), (1, 2, "A", "ORG", "buys", "B", "ORG", "A buys B", 0.7), (1, 3, "A", "ORG", "buys", "B", "ORG", None, None), (2, 4, "A", "ORG", "buys", "B", "ORG", "", 0.0)]
     docs = spark.createDataFrame([(1, "A buys B")], "doc int, text string")
