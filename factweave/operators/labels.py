@@ -178,8 +178,9 @@ def best_categories(texts: DataFrame, centroids: DataFrame, text_id: str, text_v
 
 
 def topics_hierarchical(texts: DataFrame, labels: DataFrame, text_id: str, text_vec: str, category: str, label: str,
-                        label_vec: str, top_categories: int = 3, min_score: float = 0.8) -> DataFrame:
-    """Topics of each text vector: labels of its best categories whose calibrated score reaches the minimum.
+                        label_vec: str, top_categories: int = 3, min_score: float = 0.8, k: int | None = None) -> DataFrame:
+    """Topics of each text vector: labels of its best categories whose calibrated score reaches the minimum, of each
+    category the k best (ties to the smaller label) if k is given.
 
     Category scores come from centroids; labels are then found by a threshold join inside the chosen
     categories, whose bound on the raw cosine follows from inverting the calibration.
@@ -187,7 +188,7 @@ def topics_hierarchical(texts: DataFrame, labels: DataFrame, text_id: str, text_
     chosen = best_categories(texts, _category_centroids(labels, category, label_vec), text_id, text_vec, category, top_categories)
     floor = calibrate_inverse(min_score) - 1e-9 if min_score > 0 else -1.0
     keyed = chosen.select(category, F.struct(F.col(text_id), F.col("category_rank"), F.col("category_score"), F.col(category)).alias("q"), "__v")
-    hits = similarity_join(keyed, labels, "q", "__v", label, label_vec, None, floor, on=(category,))
+    hits = similarity_join(keyed, labels, "q", "__v", label, label_vec, k, floor, on=(category,))
     return hits.select("q.*", label, "similarity").withColumn("confidence", calibrate(F.col("similarity"))).where(F.col("confidence") >= min_score)
 
 

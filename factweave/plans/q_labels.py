@@ -123,7 +123,7 @@ def topic_single_best(t):
     e = t.embeddings
     texts = e.select(F.col("vec_id").alias("t"), F.col("embedding").alias("tv"))
     table = e.select(F.col("label").alias("category"), F.col("vec_id").alias("topic"), "embedding")
-    out = labels.topics_hierarchical(texts, table, "t", "tv", "category", "topic", "embedding", min_score=0.3)
+    out = labels.topics_hierarchical(texts, table, "t", "tv", "category", "topic", "embedding", min_score=0.3, k=1)
     best = first_per_key(out, ["t"], [F.desc("similarity"), F.asc("category_rank"), F.asc("topic")])
     return best.select("t", "category", "topic", F.round("confidence", 4).alias("confidence"))
 

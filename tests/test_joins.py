@@ -106,6 +106,22 @@ def test_similarity_join_moves_copies_and_visits_once(spark, monkeypatch, k):
     assert placed == [59 if k else 480]  # two of the 60 are equal already
 
 
+def test_similarity_join_moves_a_query_once_a_group(spark, monkeypatch):
+    """Leaves that share a block get a query's vector once, and matches without k are not moved again."""
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(similarity, "LEAF", 20)
+    visits = []
+    kept = similarity.checkpointed
+    monkeypatch.setattr(similarity, "checkpointed", lambda df: (lambda out: visits.append(out.count()) or out if "leaves" in out.columns else out)(kept(df)))
+    x = vectors(320, dim=32, seed=9)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "q long, v array<float>")
+    refs = df.withColumnsRenamed({"q": "r", "v": "w"})
+    got = {(r["q"], r["r"]) for r in similarity.similarity_join(df, refs, "q", "v", "r", "w", 3, -1.0, steps=(None,)).collect()}
+    assert got == brute(x, x, 3, -1.0)
+    assert visits and sum(visits) <= 2 * 320  # 16 leaves
+    assert "SortMergeJoin" not in similarity.similarity_join(df, refs, "q", "v", "r", "w", None, 0.5)._jdf.queryExecution().sparkPlan().toString().split("FlatMapCoGroupsInArrow")[0]
+
+
 def test_similarity_join_keeps_a_null_id(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "i long, v array<double>")
     got = similarity.similarity_join(df.withColumnsRenamed({"i": "q"}), df.withColumnsRenamed({"i": "r", "v": "w"}), "q", "v", "r", "w", 2, 0.5)
