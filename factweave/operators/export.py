@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
+from ..sources.checkpoints import look_up
 from . import candidates
 from .linking import QUALIFIER_FIELDS
 from .ranking import dense_number
@@ -102,6 +103,7 @@ def cypher_nodes(df: DataFrame) -> DataFrame:
 
 def cypher_edges(df: DataFrame, nodes: DataFrame) -> DataFrame:
     """CREATE line of every statement, naming the node variables."""
+    nodes = look_up(nodes.select("name", "type", "var"))
     end = lambda side: nodes.select(F.col("name").alias(side), F.col("type").alias(f"{side}_type"), F.col("var").alias(f"{side}_var"))
     both = df.join(end("subject"), ["subject", "subject_type"]).join(end("object"), ["object", "object_type"])
     rel = F.regexp_replace(F.upper(F.coalesce(tx.blank_to_null(F.col("canonical_predicate")), F.col("predicate"))), "[^A-Z0-9]", "_")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
+from ..sources.checkpoints import look_up
 from .containment import containment_join
 from .ranking import first_per_key
 from .similarity import similarity_join
@@ -136,7 +137,7 @@ def first_result(results: list[tuple[int, DataFrame]], key: str) -> DataFrame:
 
 def with_fallback(mention_rows: DataFrame, canonicals: DataFrame, key: str) -> DataFrame:
     """Every mention with its canonical name and fqn; unmatched ones fall back to their own text."""
-    out = mention_rows.join(canonicals, key, "left")
+    out = mention_rows.join(look_up(canonicals), key, "left")
     return out.withColumns({
         "matched": F.col("canonical_id").isNotNull(),
         "canonical_name": F.coalesce("canonical_name", "mention"), "fqn": F.coalesce("fqn", "mention")})

@@ -36,8 +36,9 @@ def statements(t, doc: str = "l_orderkey") -> DataFrame:
         digits(F.col("l_quantity"), 4), digits(F.round(F.col("l_extendedprice") * 100), 14),
         digits(F.round(F.col("l_discount") * 100), 3), digits(F.round(F.col("l_tax") * 100), 3), F.col("l_returnflag"),
         F.col("l_linestatus"), F.date_format("l_shipdate", "yyyyMMdd"), digits(F.col("l_orderkey"), 12))
-    base = t.lineitem.withColumn("seq", seq).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(
-        t.part, F.col("l_partkey") == F.col("p_partkey"))
+    # behind the joins, so that where they shuffle the long seq does not travel
+    base = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(
+        t.part, F.col("l_partkey") == F.col("p_partkey")).withColumn("seq", seq)
     predicate = F.expr(_PREDICATE)
     verb = F.when(F.col("l_linestatus") == "O", predicate).otherwise(F.lit("handed over"))
     return base.select(

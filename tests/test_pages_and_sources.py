@@ -191,3 +191,25 @@ def test_provenance_is_the_first_sentence_contained(spark):
     # a text is moved as such: nothing is exploded into its characters' grams, and no pairs are shuffled
     assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert documents.first_contained(["xay", "zz"], ["b", "a"]) == [1, None] == documents.first_contained(["xay", "zz"], ["b", "a", *map(str, range(100))])
+
+
+def test_small_look_ups_move_no_large_side(spark, monkeypatch):
+    """Whatever Spark's estimate of a derived table is; a larger one is joined with a shuffle, with the same rows."""
+    from factweave.operators import export, linking
+    from factweave.sources import checkpoints
+    st = spark.createDataFrame([(i, f"s{i % 3}", "ORG", "supplies", f"o{i % 2}", "PRODUCT", None, None, 0.5, None, ["a"]) for i in range(8)],
+                               "seq int, subject string, subject_type string, predicate string, object string, object_type string, canonical_predicate string, predicate_category string, confidence double, sentiment string, topics array<string>")
+    found = st.groupBy(F.col("subject").alias("lookup_key")).agg(F.min("seq").alias("canonical_id")).where(F.col("canonical_id") > 0).selectExpr("lookup_key", "canonical_id", "lookup_key AS canonical_name", "lookup_key AS fqn")
+    ends = st.select("seq", F.col("subject").alias("mention"), F.col("subject").alias("lookup_key"))
+    queries = [lambda: export.cypher_edges(st, export.cypher_nodes(st)).select("seq", "line"), lambda: linking.with_fallback(ends, found, "lookup_key")]
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = [q() for q in queries]
+        assert all("SortMergeJoin" not in plan(df) for df in few)
+        monkeypatch.setattr(checkpoints, "FEW", 1)
+        many = [q() for q in queries]
+        assert all("SortMergeJoin" in plan(df) for df in many)
+        assert [sorted(map(str, df.collect())) for df in few] == [sorted(map(str, df.collect())) for df in many]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
