@@ -16,7 +16,7 @@ from .tables import query, table
 WORDS = 5
 PERCENT = 75
 GROUP_DOCS, GROUP_GRAMS = 4096, 3 << 19  # texts (n-grams) whose incidence is laid out at once
-BLOCK = 1_000_000  # incidences in a block of the matrix
+BLOCK = 2_000_000  # incidences in a block of the matrix
 LOCAL_SHARE, SHARE = 0.02, 0.01  # an n-gram in that share of a group (of all texts) is a frequent one
 ROUNDS = 1
 SPREAD = 0.08  # how far from the most shared set a later round may look for the one it pairs a column with
@@ -73,12 +73,13 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ the incidence matrix in blocks
 def _incidence(blocks: int, frequent: np.ndarray):
-    """Rows (block, keys, owners, sets, often, often_owners): for a group of texts the n-grams of one block of columns.
+    """Rows (block, sets, lights, keys, heavies, often, home, sizes): for a group of texts the n-grams of one block of columns,
+    set by set, with the number of each set's n-grams there; and the sizes of the sets whose first n-gram is there.
 
     An n-gram's hash modulo `blocks` is its block, and 48 more bits its key there; a frequent one goes by its number, to a
     block that its text's set chooses, so that no block takes all the texts with it.
     """
-    names = ["block", "keys", "owners", "sets", "often", "often_owners"]
+    names = ["block", "sets", "lights", "keys", "heavies", "often", "home", "sizes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -95,47 +96,75 @@ def _incidence(blocks: int, frequent: np.ndarray):
             if not new:
                 continue
             ids = np.array(list(new), dtype=np.int64)
-            own = np.repeat(np.arange(len(ids)), [len(g) for g in new.values()])
+            size = np.array([len(g) for g in new.values()])
+            own = np.repeat(np.arange(len(ids)), size)
             grams = np.concatenate(list(new.values()))
             at = np.minimum(np.searchsorted(frequent, grams), max(len(frequent) - 1, 0))
             often = frequent[at] == grams if len(frequent) else np.zeros(len(grams), bool)
             block = (grams % np.uint64(blocks)).astype(np.int64)
             block[often] = (mix64(ids.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)[own[often]]
+            home = block[np.cumsum(size) - size]
             order = np.argsort(block, kind="stable")
             key = grams // np.uint64(blocks) & np.uint64(KEY)
             cuts = np.flatnonzero(np.diff(block[order], prepend=-1, append=blocks))
             rows = []
             for a, b in zip(cuts[:-1], cuts[1:]):
-                i = order[a:b]
+                i = order[a:b]  # by set, as the sort is stable
                 light, heavy = i[~often[i]], i[often[i]]
-                used, place = np.unique(own[np.concatenate([light, heavy])], return_inverse=True)
-                place = place.astype("<u2").tobytes()
-                rows.append((int(block[i[0]]), key[light].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), place[: 2 * len(light)],
-                             ids[used].tobytes(), at[heavy].astype("<u4").tobytes(), place[2 * len(light):]))
-            kinds = [pa.int32()] + [pa.binary()] * 5
+                used, place = np.unique(own[i], return_inverse=True)
+                here = used[home[used] == block[i[0]]]
+                rows.append((int(block[i[0]]), ids[used].tobytes(), _planes(np.bincount(place[~often[i]], minlength=len(used))), _six(key[light]),
+                             _planes(np.bincount(place[often[i]], minlength=len(used))), at[heavy].astype("<u4").tobytes(), ids[here].tobytes(), _planes(size[here])))
+            kinds = [pa.int32()] + [pa.binary()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return run, "block int, keys binary, owners binary, sets binary, often binary, often_owners binary"
+    return run, "block int, sets binary, lights binary, keys binary, heavies binary, often binary, home binary, sizes binary"
 
 
-def _counted(blocks: int, frequent: np.ndarray, counts: np.ndarray):
-    """Of a block, the incidences of n-grams in two sets or more: rows (bucket, sets, grams, dfs), bucketed by set."""
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers, byte by byte, as most are small and the shuffle packs runs of zeros."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _of_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+def _six(key: np.ndarray) -> bytes:
+    return key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _of_six(raw: bytes) -> np.ndarray:
+    k = np.zeros((len(raw) // 6, 8), np.uint8)
+    k[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return k.reshape(-1).view("<u8")
+
+
+def _counted(blocks: int):
+    """Of a block, the incidences of n-grams in two sets or more and of the frequent ones, set by set: rows (bucket, block,
+    sets, lights, keys, dfs, sets_often, heavies, often, home, sizes), bucketed by set."""
+    names = ["bucket", "block", "sets", "lights", "keys", "dfs", "sets_often", "heavies", "often", "home", "sizes"]
+
+    def by_bucket(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Owners' order by bucket and owner, and where each bucket begins and ends."""
+        bucket = (mix64(owner.view(np.uint64) + np.uint64(1)) % np.uint64(blocks)).astype(np.int64)
+        order = np.lexsort((owner, bucket))
+        return order, np.searchsorted(bucket[order], np.arange(blocks + 1))
 
     def run(group: pa.Table) -> pa.Table:
-        keys, owners, grams_f, owners_f, dfs_f = [], [], [], [], []
         block = group.column("block")[0].as_py()
+        keys, owners, often, owners_f, home, sizes = [], [], [], [], [], []
         for i in range(group.num_rows):
-            raw, place, sets, often, often_place = (group.column(c)[i].as_py() for c in ("keys", "owners", "sets", "often", "often_owners"))
-            ids = np.frombuffer(sets, "<i8")
-            k = np.zeros((len(raw) // 6, 8), np.uint8)
-            k[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-            keys.append(k.reshape(-1).view("<u8"))
-            owners.append(ids[np.frombuffer(place, "<u2")])
-            at = np.frombuffer(often, "<u4")
-            grams_f.append(mix64(frequent[at]))
-            dfs_f.append(counts[at])
-            owners_f.append(ids[np.frombuffer(often_place, "<u2")])
+            raw = {c: group.column(c)[i].as_py() for c in group.column_names[1:]}
+            ids = np.frombuffer(raw["sets"], "<i8")
+            keys.append(_of_six(raw["keys"]))
+            owners.append(np.repeat(ids, _of_planes(raw["lights"])))
+            often.append(np.frombuffer(raw["often"], "<u4"))
+            owners_f.append(np.repeat(ids, _of_planes(raw["heavies"])))
+            home.append(np.frombuffer(raw["home"], "<i8"))
+            sizes.append(_of_planes(raw["sizes"]))
         key, owner = np.concatenate(keys), np.concatenate(owners)
+        del keys, owners
         order = np.lexsort((owner, key))
         key, owner = key[order], owner[order]
         fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]) if len(key) else np.zeros(0, bool)
@@ -144,37 +173,59 @@ def _counted(blocks: int, frequent: np.ndarray, counts: np.ndarray):
         size = np.diff(np.append(start, len(key)))
         df = np.repeat(size, size)
         both = df >= 2
-        gram = mix64(key[both] + np.uint64(block) * np.uint64(0x9E3779B97F4A7C15 >> 8))
-        gram = np.concatenate([gram, *grams_f])
-        owner = np.concatenate([owner[both], *owners_f])
-        df = np.concatenate([df[both], *dfs_f])
-        bucket = (mix64(owner.view(np.uint64) + np.uint64(1)) % np.uint64(blocks)).astype(np.int64)
-        order = np.lexsort((owner, bucket))
-        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=blocks))
-        rows = [(int(bucket[order[a]]), owner[order[a:b]].tobytes(), gram[order[a:b]].tobytes(), df[order[a:b]].astype("<u4").tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
-        columns = list(zip(*rows)) if rows else [()] * 4
-        return pa.table([pa.array(c, k) for c, k in zip(columns, [pa.int32()] + [pa.binary()] * 3)], ["bucket", "sets", "grams", "dfs"])
-
-    return run, "bucket int, sets binary, grams binary, dfs binary"
+        key, owner, df = key[both], owner[both], df[both]
+        order, cuts = by_bucket(owner)
+        key, owner, df = key[order], owner[order], df[order]
+        often, owner_f, home, sizes = (np.concatenate(x) for x in (often, owners_f, home, sizes))
+        order, cuts_f = by_bucket(owner_f)
+        often, owner_f = often[order], owner_f[order]
+        order, cuts_h = by_bucket(home)
+        home, sizes = home[order], sizes[order]
+        rows = []
+        for b in range(blocks):
+            l, f, h = (slice(c[b], c[b + 1]) for c in (cuts, cuts_f, cuts_h))
+            (ids, n), (ids_f, n_f) = (np.unique(x, return_counts=True) for x in (owner[l], owner_f[f]))
+            if len(ids) or len(ids_f) or h.stop > h.start:
+                rows.append((b, block, ids.tobytes(), _planes(n), _six(key[l]), _planes(df[l]), ids_f.tobytes(), _planes(n_f), often[f].tobytes(), home[h].tobytes(), _planes(sizes[h])))
+        columns = list(zip(*rows)) if rows else [()] * len(names)
+        return pa.table([pa.array(c, k) for c, k in zip(columns, [pa.int32()] * 2 + [pa.binary()] * 9)], names)
+
+    return run, ", ".join(f"{c} {'int' if c in ('bucket', 'block') else 'binary'}" for c in names)
+
+
+def _rare_first(frequent: np.ndarray, counts: np.ndarray):
+    """(set_id, n, grams) of a bucket: each set's size and shared n-grams, the rarest first, ties by hash."""
 
-
-def _rare_first(group: pa.Table) -> pa.Table:
-    """(set_id, grams) of a bucket: each set's shared n-grams, the rarest first, ties by hash."""
-    def column(name: str, kind: str) -> np.ndarray:
-        return np.concatenate([np.frombuffer(x, kind) for x in group.column(name).to_pylist()])
-
-    owner, gram, df = column("sets", "<i8"), column("grams", "<u8"), column("dfs", "<u4")
-    order = np.lexsort((gram, df, owner))
-    owner, gram = owner[order], gram[order]
-    fresh = np.concatenate([[True], (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])])  # frequent ones of a set laid out twice
-    owner, gram = owner[fresh], gram[fresh]
-    start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(owner)).astype(np.int32)), pa.array(gram.view(np.int64)))
-    return pa.table([pa.array(owner[start]), lists], ["set_id", "grams"])
+    def run(group: pa.Table) -> pa.Table:
+        owners, grams, dfs, home, sizes = [], [], [], [], []
+        for i in range(group.num_rows):
+            raw = {c: group.column(c)[i].as_py() for c in group.column_names[1:]}
+            owners.append(np.repeat(np.frombuffer(raw["sets"], "<i8"), _of_planes(raw["lights"])))
+            grams.append(mix64(_of_six(raw["keys"]) + np.uint64(raw["block"]) * np.uint64(0x9E3779B97F4A7C15 >> 8)))
+            dfs.append(_of_planes(raw["dfs"]).astype(np.int64))
+            at = np.frombuffer(raw["often"], "<u4")
+            owners.append(np.repeat(np.frombuffer(raw["sets_often"], "<i8"), _of_planes(raw["heavies"])))
+            grams.append(mix64(frequent[at]))
+            dfs.append(counts[at])
+            home.append(np.frombuffer(raw["home"], "<i8"))
+            sizes.append(_of_planes(raw["sizes"]))
+        owner, gram, df = (np.concatenate(x) for x in (owners, grams, dfs))
+        order = np.lexsort((gram, df, owner))
+        owner, gram = owner[order], gram[order]
+        fresh = np.ones(len(owner), dtype=bool)
+        fresh[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])  # frequent ones of a set laid out twice
+        owner, gram = owner[fresh], gram[fresh]
+        sets, start = np.unique(owner, return_index=True)
+        known, first = np.unique(np.concatenate(home), return_index=True)
+        n = np.concatenate(sizes)[first][np.searchsorted(known, sets)].astype(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(owner)).astype(np.int32)), pa.array(gram.view(np.int64)))
+        return pa.table([pa.array(sets), pa.array(n), lists], ["set_id", "n", "grams"])
+
+    return run, "set_id long, n long, grams array<long>"
 
 
 def shared_grams(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(set_id, n, grams) of every set, written: the n-grams that another set has too, the rarest first."""
+    """(set_id, n, grams) of every set that has n-grams of another one, written: these n-grams, the rarest first."""
     found = rows.where("frequent is not null").select("frequent").mapInArrow(_decoded, "gram long, c long")
     total, sets = rows.agg(F.sum("n"), F.count("set_id")).first()
     # n-grams in at least SHARE of the texts: at most 1/SHARE times the mean size of a set
@@ -185,10 +236,8 @@ def shared_grams(docs: DataFrame, rows: DataFrame) -> DataFrame:
     blocks = max(1, -(-(total or 0) // BLOCK))
     lay, schema = _incidence(blocks, frequent)
     matrix = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(lay, schema)
-    count, schema = _counted(blocks, frequent, counts)
-    shared = matrix.groupBy("block").applyInArrow(count, schema).groupBy("bucket").applyInArrow(_rare_first, "set_id long, grams array<long>")
-    sizes = rows.where("set_id is not null").groupBy("set_id").agg(F.first("n").alias("n"))
-    return written(shared.join(sizes, "set_id"), "sets")
+    shared = matrix.groupBy("block").applyInArrow(*_counted(blocks)).groupBy("bucket").applyInArrow(*_rare_first(frequent, counts))
+    return written(shared, "sets")
 
 
 # ------------------------------------------------------------------ links

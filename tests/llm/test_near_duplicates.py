@@ -64,6 +64,19 @@ def test_join_of_documents_in_small_blocks(spark, docs_folder, monkeypatch):
     assert got == brute(rows)
 
 
+def test_bytes_of_shared_incidences():
+    """What a block hands on takes a key and a count for each n-gram; the sets' ids come once, not with each n-gram."""
+    rng = np.random.default_rng(1)
+    pool = [f"w{i}" for i in range(400)]
+    texts = [" ".join(pool[a: a + 300]) for a in rng.integers(0, 100, 100)]
+    lay, _ = jaccard._incidence(1, np.zeros(0, np.uint64))
+    count, _ = jaccard._counted(1)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(texts)], ["doc_id", "text"])
+    got = count(pa.Table.from_batches(lay(iter([batch]))))
+    incidences = sum(len(x) for x in got.column("keys").to_pylist()) // 6
+    assert incidences > 15_000 and sum(c.nbytes for c in got.columns) < 12 * incidences
+
+
 def test_join_of_odd_and_no_rows(odd_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.select("doc_id", "text").collect()]
     got = sorted(map(tuple, jaccard.join(odd_docs).collect()), key=repr)
