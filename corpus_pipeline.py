@@ -22,12 +22,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: the one with the smallest id, of those with it (or without any)
-    the smallest key. Each row has a key of its own for this, a hash of id and text; rows that are equal in both count once."""
+    the smallest key. Each row has a key of its own for this, a hash of id and text; rows that are equal in both count once.
+    Only ids and keys are made distinct for that: texts move once, when the kept ones are taken."""
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), F.col("text"), F.col("text").isNull())
-    rows = docs.select(key.alias("__key"), F.col("doc_id").alias("__id"), "text").dropDuplicates(["__key"])
-    of = jaccard.join(rows.select(F.col("__key").alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), "component_id")
+    ids = docs.select(key.alias("__key"), F.col("doc_id").alias("__id")).dropDuplicates(["__key"])
+    of = jaccard.join(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), "component_id").distinct()
     best = F.min(F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__key").alias("key")))
-    first = of.join(rows.drop("text"), "__key").groupBy("component_id").agg(best.alias("b")).select(F.col("b.key").alias("__key"))
+    first = of.join(ids, "__key").groupBy("component_id").agg(best.alias("b")).select(F.col("b.key").alias("__key"))
     kept = docs.withColumn("__key", key).join(first, "__key", "left_semi")
     return kept.dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
