@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factweave.operators import similarity
-from factweave.operators.containment import containment_join
+from factweave.operators.containment import candidate_pairs, containment_join
 from factweave.operators.ranges import page_at_char, page_offsets, pages_in_range
 from factweave.operators.ranking import dense_number, prefix_sum, top_per_key
 
@@ -170,3 +170,23 @@ def test_top_per_key_ranks_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
     plan = top_per_key(df, ["k"], [F.desc("id")], 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_candidates_of_numbered_names_grow_with_the_names(spark):
+    """Any three digits stand in a fixed share of all numbered names; wider grams do not."""
+    for n in (1000, 4000):
+        names = [f"supplier#{i:09d}" for i in range(n)]
+        needles = spark.createDataFrame([(x,) for x in names], "n string")
+        hay = spark.createDataFrame([(f"the {x} co.",) for x in names], "h string")
+        assert candidate_pairs(needles, hay, "n", "h")[0].count() < 4 * n
+        assert containment_join(needles, hay, "n", "h").count() == n
+
+
+def test_containment_of_long_and_odd_needles(spark):
+    """Needles around the widths' edges, with letters outside the basic plane, inside, at the ends of and longer than the haystacks."""
+    base = "aXéb\U0001F600cde fghij klm\U0001F600\U0001F600nop qrs tuv abcabcabcabcabc"
+    needles = {base[a: a + n] for n in (1, 2, 3, 5, 6, 7, 11, 12, 13, 20, len(base)) for a in (0, 4, 9, 17)} | {"abcabc", "abcabcabcabc", base + "z", "nothere", "not in here at all"}
+    hay = {base, base[5:30], base[10:], "abcabcabc", "a", "z" + base[:13]}
+    needles.discard("")
+    got = containment_join(spark.createDataFrame([(x,) for x in needles], "n string"), spark.createDataFrame([(x,) for x in hay], "h string"), "n", "h").collect()
+    assert {(r["n"], r["h"]) for r in got} == {(x, y) for x in needles for y in hay if x in y} and len(got) == len(set(got))
